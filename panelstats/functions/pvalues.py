@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TINY = 1e-300
 
@@ -62,7 +63,7 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return incomplete_beta(df / 2.0, np.full_like(df, 0.5), x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_slope(r2: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a least-squares slope from r squared and the number of points."""
     out = np.full(len(r2), np.nan)

@@ -1,77 +1,90 @@
 """Residual block bootstrap of a straight-line slope, without a sequential generator.
 
-Block starts come from a hash of (seed, series, block length, replicate, block),
-so a replicate is the same on every attempt and under any partitioning. The
-slope is linear in the data: refitting fitted + resampled residuals equals the
-observed slope plus the weighted sum of the resampled residuals, so a replicate
-is one row and needs no regrouping.
+Block starts come from a counter hash of (seed, series, block length, replicate,
+block), so a replicate is the same on every attempt and under any partitioning.
+The slope is linear in the data: refitting fitted + resampled residuals equals the
+observed slope plus the weighted sum of the resampled residuals, so a batch of
+replicates is one gather and one matrix product, and nothing is regrouped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from panelstats.operators.trend import detrend, residual_memory
 
-BATCH = 500  # replicates kept together when work is spread over tasks
+BATCH = 500  # replicates per row of work
 
+# fixed values: constants of the splitmix64 mixing function
+MIX_STEP = np.uint64(0x9E3779B97F4A7C15)
+MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
+MIX_2 = np.uint64(0x94D049BB133111EB)
 
-def block_starts(n: Column, block_length: Column, seed: int, keys: Sequence[str]) -> Column:
-    """Random starts in [0, n) for the blocks that fill n places."""
-    count = F.ceil(n / block_length).cast("int")
-    draw = lambda b: F.pmod(
-        F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], block_length, F.col("replicate"), b), n.cast("bigint")
-    ).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), draw)
 
+def mix(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = z + MIX_STEP
+        z = (z ^ (z >> np.uint64(30))) * MIX_1
+        z = (z ^ (z >> np.uint64(27))) * MIX_2
+        return z ^ (z >> np.uint64(31))
+
+
+def circular_positions(key: int, n: int, block_length: int, replicates: np.ndarray) -> np.ndarray:
+    """(replicate, place) -> source position: blocks of consecutive places from random
+    starts, wrapping round at n, cut off when n places are filled."""
+    place = np.arange(n)
+    block = np.arange(-(-n // block_length), dtype=np.uint64)
+    seed = np.array([key & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
+    rows = mix(mix(seed) ^ replicates.astype(np.uint64))
+    starts = (mix(rows[:, None] ^ mix(block)[None, :]) % np.uint64(n)).astype(np.int64)
+    return (starts[:, place // block_length] + place % block_length) % n
 
-def circular_positions(n: Column, block_length: Column, starts: Column) -> Column:
-    """Source position of each of the n places: blocks of consecutive places, wrapping round."""
-    place = F.sequence(F.lit(0), n - 1)
-    return F.transform(
-        place,
-        lambda k: F.pmod(
-            F.element_at(starts, F.floor(k / block_length).cast("int") + 1) + F.pmod(k, block_length), n
-        ).cast("int"),
-    )
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def batch_slopes(
+    key: pd.Series, slope: pd.Series, e: pd.Series, w: pd.Series, length: pd.Series, first: pd.Series, last: pd.Series
+) -> pd.Series:
+    out = []
+    for k, s, resid, weight, size, lo, hi in zip(key, slope, e, w, length, first, last):
+        at = circular_positions(int(k), len(resid), int(size), np.arange(lo, hi + 1))
+        out.append(s + np.asarray(resid, float)[at] @ np.asarray(weight, float))
+    return pd.Series(out)
 
 
 def replicate_slopes(
     df: DataFrame, by: Sequence[str], x: str, y: str,
     block_lengths: Sequence[int], n_boot: int, seed: int,
 ) -> DataFrame:
-    """(by, block_length, replicate, observed_slope, slope)."""
+    """(by, block_length, observed_slope, slope): one row per replicate."""
     line = detrend(df, by, x, y).withColumn("_x", F.col(x).cast("double"))
     packed = line.groupBy(*by).agg(
-        F.count("*").cast("int").alias("n"),
+        F.count("*").alias("n"),
         F.array_sort(F.collect_list(F.struct("_x", F.col("residual").alias("e")))).alias("p"),
         F.avg("_x").alias("mx"),
         (F.var_pop("_x") * F.count("*")).alias("sxx"),
         F.regr_slope(F.col(y).cast("double"), F.col("_x")).alias("observed_slope"),
     ).where("n >= 3 and sxx > 0")
     series = packed.select(
-        *by, "n", "observed_slope", F.col("p.e").alias("e"),
+        *by, "observed_slope", F.col("p.e").alias("e"),
         F.transform("p._x", lambda v: (v - F.col("mx")) / F.col("sxx")).alias("w"),
     )
+    # small work units, spread evenly: one per series, block length and batch
     work = (
         series.withColumn("block_length", F.explode(F.array(*[F.lit(int(b)) for b in block_lengths])))
         .withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BATCH))))
         .repartition(*by, "block_length", "batch")
     )
-    last = F.least((F.col("batch") + 1) * BATCH, F.lit(n_boot)) - 1
-    each = work.withColumn("replicate", F.explode(F.sequence(F.col("batch") * BATCH, last)))
-    n, length = F.col("n"), F.col("block_length")
-    each = each.withColumn("starts", block_starts(n, length, seed, by))
-    # walk the places once: place k takes residual (start of its block + k mod L) mod n
-    shift = F.aggregate(
-        F.arrays_zip("w", circular_positions(n, length, F.col("starts")).alias("at")),
-        F.lit(0.0),
-        lambda acc, p: acc + p["w"] * F.element_at(F.col("e"), p["at"] + 1),
-    )
-    return each.select(*by, "block_length", "replicate", "observed_slope", (F.col("observed_slope") + shift).alias("slope"))
+    first = F.col("batch") * BATCH
+    last = F.least(first + BATCH, F.lit(n_boot)) - 1
+    key = F.xxhash64(F.lit(seed), *by, "block_length")
+    slopes = batch_slopes(key, "observed_slope", "e", "w", "block_length", first, last)
+    return work.select(*by, "block_length", "observed_slope", F.explode(slopes).alias("slope"))
 
 
 def block_bootstrap(

@@ -168,7 +168,8 @@ def distribution(
 
 def ranks_within(df: DataFrame, by: Sequence[str], value: str, bits: int = 12) -> DataFrame:
     """(by, value, avg_rank): tie-averaged ranks for groups too large for one window."""
-    counts = value_counts(df, by, [value]).where(F.col("value").isNotNull())
+    present = df.dropna(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("value"))
+    counts = present.groupBy(*by, "value").agg(F.count("*").alias("c"))
     counts = counts.withColumn("bucket", magnitude_bucket("value", bits))
     hist = counts.groupBy(*by, "bucket").agg(F.sum("c").alias("bc"))
     run = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)

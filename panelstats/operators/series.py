@@ -180,8 +180,9 @@ def resample_month(
     # the spine is laid between the months found, so the facts are read once
     ahead = F.lead("month").over(Window.partitionBy(*by).orderBy("month"))
     last_before = F.coalesce(F.add_months(ahead, -1), F.col("month"))
-    steps = F.sequence("month", last_before, F.expr("interval 1 month"))
-    filled = monthly.select("*", F.explode(steps).alias("m"))
+    spans = monthly.withColumn("until", last_before)
+    steps = F.sequence("month", "until", F.expr("interval 1 month"))
+    filled = spans.select("*", F.explode(steps).alias("m"))
     here = F.col("m") == F.col("month")
     return filled.select(*by, F.col("m").alias("month"), *[F.when(here, F.col(n)).alias(n) for n in aggs])
 

@@ -94,11 +94,14 @@ event_wide AS (
 
 # ---- orders: daily flows per year and priority ------------------------------
 
+UNIT = 997  # a prime, so that rounded means are not decided by exact decimal ties
+
+
 def order_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Flows of finished and open orders, level as mean price around 250 thousand; a flow
+    """Flows of finished and open orders, level as mean price around 250 units; a flow
     without orders on the day is missing."""
     o = table(spark, folder, "orders")
-    k = F.col("o_totalprice") / 1000
+    k = F.col("o_totalprice") / UNIT
     days = o.groupBy(
         F.year("o_orderdate").alias("year"),
         F.col("o_orderpriority").alias("grp"),
@@ -117,10 +120,10 @@ ORDER_DAYS = """
 order_days AS (
   SELECT *, inflow - outflow AS net FROM (
     SELECT year(o_orderdate) AS year, o_orderpriority AS grp, CAST(o_orderdate AS DATE) AS date,
-      sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 1000 END) AS inflow,
-      sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 END) AS outflow,
-      sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 1000 END) AS model,
-      avg(o_totalprice / 1000) - 250 AS level,
+      sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 997 END) AS inflow,
+      sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 997 END) AS outflow,
+      sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 997 END) AS model,
+      avg(o_totalprice / 997) - 250 AS level,
       CAST(count(*) AS DOUBLE) AS rain
     FROM orders GROUP BY 1, 2, 3))"""
 

@@ -9,7 +9,7 @@ from panelstats.workload.common import (
     COMMON_DAYS, EVENT_DAYS, ORDER_DAYS, Query, event_days, order_days, shape, shaped, table,
 )
 
-LIMIT = 250.0
+LIMIT = 50.0
 THRESHOLDS = (0.0, 5.0, 50.0)
 
 
@@ -71,7 +71,7 @@ def run_incomplete(spark, folder):
 
 
 def run_axes(spark, folder):
-    axis = joins.cross_axis(event_days(spark, folder), "threshold", [100.0, 200.0, 250.0, 300.0])
+    axis = joins.cross_axis(event_days(spark, folder), "threshold", [40.0, 45.0, 50.0, 55.0])
     return shape(axis.groupBy("event_type", "threshold").agg(
         F.count("*").alias("n_days"), F.count_if(F.col("level") > F.col("threshold")).alias("days_above")
     ))
@@ -190,6 +190,6 @@ QUERIES = {
         "GROUP BY 1, 2 HAVING count(*) > count(net)", ints="year n_missing")),
     "threshold_axis": Query(run_axes, shaped(
         f"WITH {EVENT_DAYS} --final SELECT event_type, CAST(threshold AS DOUBLE) AS threshold, count(*) AS n_days, "
-        "count(*) FILTER (level > threshold) AS days_above FROM event_days, (VALUES (100), (200), (250), (300)) t(threshold) "
+        "count(*) FILTER (level > threshold) AS days_above FROM event_days, (VALUES (40), (45), (50), (55)) t(threshold) "
         "GROUP BY 1, 2", ints="n_days days_above")),
 }
