@@ -100,9 +100,14 @@ def map_positions(
     ).agg(F.first(_value(cells)))
 
 
-def read_sheet(cells: DataFrame, sheet: str, header_row: int, positions: Mapping[str, int]) -> DataFrame:
-    """Rows below the header with columns taken by position, not by name."""
-    body = cells.where((F.col("sheet") == sheet) & (F.col("row") > header_row))
+def read_sheet(cells: DataFrame, sheet: str | None, header_row: int, positions: Mapping[str, int]) -> DataFrame:
+    """Rows below the header with columns taken by position, not by name.
+
+    One named sheet of every workbook, or all sheets.
+    """
+    body = cells.where(F.col("row") > header_row)
+    if sheet is not None:
+        body = body.where(F.col("sheet") == sheet)
     aggs = [F.first(F.when(F.col("column") == at, _value(cells)), ignorenulls=True).alias(name)
             for name, at in positions.items()]
     return body.groupBy(*SHEET, "row").agg(*aggs)

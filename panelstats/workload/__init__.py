@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["state_queries", "quality_queries", "panel_queries", "contrast_queries", "trend_queries"]
+MODULES = [
+    "state_queries", "quality_queries", "panel_queries", "contrast_queries", "trend_queries",
+    "evidence_queries", "source_queries", "stream_queries",
+]
 
 
 def all_queries() -> dict:
