@@ -2,8 +2,8 @@
 
 The plain operators expect a series with one row per group and date, so a group
 holds no more rows than the calendar has days. ``spells_chunked`` takes series
-of any length: runs are found inside time chunks and only the first and last run
-of each chunk is stitched across chunks.
+of any length: runs are found inside time chunks and joined up through one summary
+row per chunk.
 """
 
 from __future__ import annotations
@@ -97,10 +97,12 @@ def spells(df: DataFrame, by: Sequence[str], order: str, state: str) -> DataFram
 def spells_chunked(
     df: DataFrame, by: Sequence[str], order: str, state: str, chunk: Column
 ) -> DataFrame:
-    """Same result as ``spells`` for series of any length.
+    """Same result as ``spells`` for 0/1 states of series of any length.
 
-    ``chunk`` never decreases along ``order`` (for example the hour of a
-    timestamp); a task handles one chunk of one group at a time.
+    ``chunk`` never decreases along ``order`` (for example the hour of a timestamp).
+    Runs are found per chunk. One row per chunk then tells which state went before,
+    how many rows and how many spells of each state came earlier; with that every
+    run knows its spell, and runs of one spell are merged.
     """
     cut = df.dropna(subset=[*by, state]).withColumn("chunk", chunk)
     local = [*by, "chunk"]
@@ -110,31 +112,38 @@ def spells_chunked(
         .agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"),
              F.min("idx").alias("first_idx"))
     )
-    per_chunk = runs.groupBy(*local).agg(F.max("run").alias("n_runs"), F.sum("length").alias("n"))
-    before = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    runs = runs.join(per_chunk.drop("n"), local).withColumn("start_index", F.col("offset") + F.col("first_idx"))
-
-    edge = (F.col("run") == 1) | (F.col("run") == F.col("n_runs"))
-    along = Window.partitionBy(*by).orderBy("chunk", "run")
-    joins_on = (F.lag("chunk").over(along) != F.col("chunk")) & (F.lag(state).over(along) == F.col(state))
-    edges = runs.where(edge).withColumn("opens", F.when(joins_on, 0).otherwise(1))
-    edges = edges.withColumn("piece", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    cols = [*by, state, "start_chunk", "start", "end", "length", "start_index"]
-    stitched = edges.groupBy(*by, "piece", state).agg(
-        F.min("chunk").alias("start_chunk"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.sum("length").alias("length"), F.min("start_index").alias("start_index"),
-    ).select(*cols)
-    whole = runs.where(~edge).withColumnRenamed("chunk", "start_chunk").select(*cols).unionByName(stitched)
-
-    # number the spells: how many of the state started in earlier chunks, plus the place in this one
-    started = whole.groupBy(*by, state, "start_chunk").agg(F.count("*").alias("k"))
-    earlier = Window.partitionBy(*by, state).orderBy("start_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    started = started.withColumn("base", F.coalesce(F.sum("k").over(earlier), F.lit(0))).drop("k")
-    place = F.row_number().over(Window.partitionBy(*by, state, "start_chunk").orderBy("start_index"))
-    return whole.join(started, [*by, state, "start_chunk"]).select(
-        *by, state, (F.col("base") + place).cast("bigint").alias("spell_id"), "start", "end", "length",
-        "start_index", (F.col("start_index") + F.col("length") - 1).alias("end_index"),
+    per_chunk = runs.groupBy(*local).agg(
+        F.sum("length").alias("n"),
+        F.min_by(state, "run").alias("first_state"),
+        F.max_by(state, "run").alias("last_state"),
+        F.count_if(F.col(state) == 0).alias("n0"),
+        F.count_if(F.col(state) == 1).alias("n1"),
+    )
+    along = Window.partitionBy(*by).orderBy("chunk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    per_chunk = per_chunk.withColumn("prev", F.lag("last_state").over(along))
+    # the first run of a chunk may continue the last run before it
+    carried = F.coalesce((F.col("prev") == F.col("first_state")).cast("int"), F.lit(0))
+    per_chunk = per_chunk.withColumn("carried", carried)
+    opened = lambda k: F.col(f"n{k}") - F.when(F.col("first_state") == k, F.col("carried")).otherwise(0)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    summary = per_chunk.select(
+        *local, "first_state", "carried", before(F.col("n")).alias("offset"),
+        before(opened(0)).alias("base0"), before(opened(1)).alias("base1"),
+    )
+    same = F.col(state) == F.col("first_state")
+    # states alternate inside a chunk, so a run's place among its state follows from its number
+    place = F.floor((F.col("run") - F.when(same, 1).otherwise(2)) / 2) + 1 - F.when(same, F.col("carried")).otherwise(0)
+    base = F.when(F.col(state) == 1, F.col("base1")).otherwise(F.col("base0"))
+    numbered = runs.join(summary, local).select(
+        *by, state, (base + place).cast("bigint").alias("spell_id"), "start", "end", "length",
+        (F.col("offset") + F.col("first_idx")).alias("start_index"),
+    )
+    return (
+        numbered.groupBy(*by, state, "spell_id")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").alias("length"),
+             F.min("start_index").alias("start_index"))
+        .withColumn("end_index", F.col("start_index") + F.col("length") - 1)
     )
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelstats.functions.scalar import month_start, weighted_mean
+from panelstats.functions.scalar import weighted_mean
 from panelstats.operators import joins, panel, quality, series
 from panelstats.sources import tables
 from panelstats.workload.common import (
-    COMMON_DAYS, EVENT_DAYS, N_YEARS, ORDER_DAYS, PART_PANEL, Query, event_days, order_days, part_panel, shape, shaped,
-    table,
+    COMMON_DAYS, N_YEARS, ORDER_DAYS, PART_PANEL, UNIT, Query, order_days, part_panel, shape, shaped, table,
 )
 
 BY = ["year", "grp"]
@@ -123,8 +122,10 @@ def run_aligned_groups(spark, folder):
 
 
 def run_profile(spark, folder):
-    rows = table(spark, folder, "lineitem").withColumn("balance", F.col("l_quantity") - 25)
-    return shape(series.profile(rows, ["l_returnflag"], ["l_quantity", "l_discount", "l_extendedprice", "balance"]), 4)
+    rows = table(spark, folder, "lineitem").select(
+        "l_returnflag", "l_quantity", "l_discount", (F.col("l_extendedprice") / UNIT).alias("price"),
+        (F.col("l_quantity") - 25).alias("balance"))
+    return shape(series.profile(rows, ["l_returnflag"], ["l_quantity", "l_discount", "price", "balance"]), 4)
 
 
 def run_sensor_summary(spark, folder):
@@ -302,7 +303,7 @@ QUERIES = {
         real="highest lowest spread", ints="year", dates="date")),
     "distribution_profile": Query(run_profile, shaped(" UNION ALL ".join([
         _profile("l_quantity", "l_quantity"), _profile("l_discount", "l_discount"),
-        _profile("l_extendedprice", "l_extendedprice"), _profile("balance", "(l_quantity - 25)")]),
+        _profile("price", "(l_extendedprice / 997)"), _profile("balance", "(l_quantity - 25)")]),
         real='"sum" mean sd "min" "max" p05 p25 median p75 p95 pct_zero pct_negative', digits=4)),
     "sensor_summary": Query(run_sensor_summary, shaped("""SELECT event_type, user_id, count(value) AS n,
         min(CAST(ts AS DATE)) AS first_date, max(CAST(ts AS DATE)) AS last_date, avg(value) AS mean,

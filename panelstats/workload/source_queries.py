@@ -215,7 +215,9 @@ def run_date_functions(spark, folder):
 def run_number_functions(spark, folder):
     line = table(spark, folder, "lineitem")
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    price = F.format_number("l_extendedprice", 2)  # with thousands separators
+    whole = F.floor(F.col("l_extendedprice") / 1000)  # written with a thousands separator
+    price = F.concat_ws(",", F.nullif(whole.cast("string"), F.lit("0")), F.format_string(
+        "%07.3f", F.col("l_extendedprice") - whole * 1000))
     text = F.when(key % 11 == 0, F.lit("")).when(key % 13 == 0, F.lit("n/a")).otherwise(price)
     v = F.col("v")
     rows = line.select("l_returnflag", "l_quantity", "l_discount", "l_tax", "l_linenumber", S.parse_number(text).alias("v"))
