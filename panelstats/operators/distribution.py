@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 QUARTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 LOWEST_OCTAVE = -1100
+MISSING = -(1 << 62)  # bucket of missing values, below every other
 
 
 def _octave(a: Column) -> Column:
@@ -45,6 +46,13 @@ def _anchor(v: Column, bits: int) -> Column:
     )
 
 
+def present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows whose keys are all known, as plain filters that every branch of a plan shares."""
+    for c in cols:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def value_counts(
     df: DataFrame,
     by: Sequence[str],
@@ -56,7 +64,7 @@ def value_counts(
     ``carry`` adds sums, minima or maxima of other expressions: name -> (kind, column).
     """
     carry = dict(carry or {})
-    keyed = df.dropna(subset=list(by)) if by else df
+    keyed = present(df, by)
     fixed = [F.col(b) for b in by] + [c.alias(name) for name, (_, c) in carry.items()]
     doubles = [F.col(v).cast("double").alias(v) for v in values]
     wide = keyed.select(*fixed, *doubles)
@@ -65,7 +73,7 @@ def value_counts(
         ids = [*by, *carry]
         long = wide.select(*ids, F.lit(name).alias("variable"), F.col(name).alias("value"))
     else:
-        long = wide.unpivot([*by, *carry], list(values), "variable", "value")
+        long = present(wide.unpivot([*by, *carry], list(values), "variable", "value"), [*by, "variable"])
     long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
     return long.groupBy(*by, "variable", "value").agg(
@@ -90,11 +98,13 @@ def distribution(
     quantiles = QUARTILES if quantiles is None else dict(quantiles)
     carry = dict(carry or {})
     group = [*by, "variable"]
-    counts = value_counts(df, by, values, carry).withColumn("bucket", magnitude_bucket("value", bits))
+    bucket = F.coalesce(magnitude_bucket("value", bits), F.lit(MISSING))
+    counts = value_counts(df, by, values, carry).withColumn("bucket", bucket)
 
     v, c = F.col("value"), F.col("c")
     off = v - _anchor(v, bits)
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    carried = lambda: [merge[kind](name).alias(name) for name, (kind, _) in carry.items()]
     hist = counts.groupBy(*group, "bucket").agg(
         F.sum("c").alias("c"),
         F.sum(c * v).alias("s"),
@@ -103,23 +113,37 @@ def distribution(
         F.sum(c * off * off).alias("d2"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
-        *[merge[kind](name).alias(name) for name, (kind, _) in carry.items()],
+        *carried(),
     )
     # one short window per group: its rows are the occupied buckets, not the data
     whole = Window.partitionBy(*group)
-    present = F.when(F.col("bucket").isNotNull(), F.col("c")).otherwise(0)
+    here = F.col("bucket") != MISSING
+    known = F.when(here, F.col("c")).otherwise(0)
     hist = hist.select(
         "*",
-        F.sum(present).over(whole).alias("n"),
-        F.try_divide(F.sum("s").over(whole), F.sum(present).over(whole)).alias("mean"),
-        F.sum(present)
+        F.sum(known).over(whole).alias("n"),
+        F.try_divide(F.sum("s").over(whole), F.sum(known).over(whole)).alias("mean"),
+        F.sum(known)
         .over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         .alias("upto"),
     )
     bucket_mean = F.col("at") + F.col("d1") / F.col("c")
     spread = F.col("d2") - F.col("d1") * F.col("d1") / F.col("c")
     spread = spread + F.col("c") * (bucket_mean - F.col("mean")) * (bucket_mean - F.col("mean"))
-    here = F.col("bucket").isNotNull()
+
+    def ranks(p: float) -> tuple[Column, Column, Column]:
+        at = F.lit(p) * (F.col("n") - 1)
+        return F.floor(at), F.ceil(at), at - F.floor(at)
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto"))
+
+    # a group without any value keeps its row of missing values
+    wanted = F.col("n") == 0
+    for p in quantiles.values():
+        for r in ranks(p)[:2]:
+            wanted = wanted | (here & holds(r))
+    mark = F.struct("bucket", (F.col("upto") - F.col("c")).alias("before"))
     stats = hist.groupBy(*group).agg(
         F.sum("c").alias("n_rows"),
         F.max("n").alias("n"),
@@ -134,43 +158,37 @@ def distribution(
         F.min("lo").alias("min"),
         F.max("hi").alias("max"),
         F.coalesce(F.sum(F.when(F.col("bucket") == 0, F.col("c"))), F.lit(0)).alias("n_zero"),
-        F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col("c"))), F.lit(0)).alias("n_negative"),
-        *[merge[kind](name).alias(name) for name, (kind, _) in carry.items()],
+        F.coalesce(F.sum(F.when(here & (F.col("bucket") < 0), F.col("c"))), F.lit(0)).alias("n_negative"),
+        *carried(),
+        *([F.collect_list(F.when(wanted, mark)).alias("marks")] if quantiles else []),
     )
     if not quantiles:
         return stats
-
-    def ranks(p: float) -> tuple[Column, Column, Column]:
-        at = F.lit(p) * (F.col("n") - 1)
-        return F.floor(at), F.ceil(at), at - F.floor(at)
-
-    start = F.col("upto") - F.col("c")
-    wanted = F.lit(False)
-    for p in quantiles.values():
-        for r in ranks(p)[:2]:
-            wanted = wanted | ((r >= start) & (r < F.col("upto")))
-    needed = hist.where(here & wanted).select(*group, "bucket", start.alias("before"), "n")
+    names = [x for x in stats.columns if x not in (*group, "marks")]
+    marks = stats.select(*group, "n", F.struct(*names).alias("stats"), F.inline("marks"))
     inside = Window.partitionBy(*group, "bucket").orderBy("value")
-    ranked = counts.where(here).join(needed, [*group, "bucket"]).withColumn(
+    ranked = counts.join(marks, [*group, "bucket"]).withColumn(
         "upto",
         F.col("before") + F.sum("c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
     )
-    start = F.col("upto") - F.col("c")
     picks = []
     for name, p in quantiles.items():
         lo, hi, frac = ranks(p)
-        at = lambda r: F.max(F.when((r >= start) & (r < F.col("upto")), F.col("value")))
-        low, high = at(lo), at(hi)
+        low, high = (F.max(F.when(holds(r), F.col("value"))) for r in (lo, hi))
         picks.append((low + (high - low) * F.max(frac)).alias(name))
-    found = ranked.groupBy(*group).agg(*picks)
-    return stats.join(found, group, "left")
+    # reading the carried columns here too leaves both readers of the value counts
+    # with the same columns, so that one exchange, and one scan, serves both
+    again = [m.alias(f"{name}_part") for m, name in zip(carried(), carry)]
+    found = ranked.groupBy(*group).agg(F.first("stats").alias("stats"), *picks, *again)
+    settled = lambda x: F.coalesce(F.col(f"stats.{x}"), F.col(f"{x}_part")).alias(x) if x in carry else F.col(f"stats.{x}")
+    return found.select(*group, *[settled(x) for x in names], *quantiles)
 
 
 def ranks_within(df: DataFrame, by: Sequence[str], value: str, bits: int = 12) -> DataFrame:
     """(by, value, avg_rank): tie-averaged ranks for groups too large for one window."""
-    present = df.dropna(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("value"))
-    counts = present.groupBy(*by, "value").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("bucket", magnitude_bucket("value", bits))
+    known = present(df, [*by, value]).select(*by, F.col(value).cast("double").alias("value"))
+    counts = known.groupBy(*by, "value").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("bucket", F.coalesce(magnitude_bucket("value", bits), F.lit(MISSING)))
     hist = counts.groupBy(*by, "bucket").agg(F.sum("c").alias("bc"))
     run = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("before", F.sum("bc").over(run) - F.col("bc"))
