@@ -59,7 +59,7 @@ def value_counts(
     values: Sequence[str],
     carry: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """(by, variable, value, c): equal values merged; a missing value is its own row.
+    """(by, variable, _v, _c): equal values merged; a missing value is its own row.
 
     ``carry`` adds sums, minima or maxima of other expressions: name -> (kind, column).
     """
@@ -71,13 +71,15 @@ def value_counts(
     if len(values) == 1:
         name = values[0]
         ids = [*by, *carry]
-        long = wide.select(*ids, F.lit(name).alias("variable"), F.col(name).alias("value"))
+        long = wide.select(*ids, F.lit(name).alias("variable"), F.col(name).alias("_v"))
     else:
-        long = present(wide.unpivot([*by, *carry], list(values), "variable", "value"), [*by, "variable"])
-    long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+        # an inline array keeps what is known about the keys, which an unpivot forgets
+        pairs = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).alias("_v")) for n in values])
+        long = present(wide.select(*by, *carry, F.inline(pairs)), ["variable"])
+    long = long.withColumn("_v", F.when(~F.isnan("_v"), F.col("_v")))
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
-    return long.groupBy(*by, "variable", "value").agg(
-        F.count("*").alias("c"),
+    return long.groupBy(*by, "variable", "_v").agg(
+        F.count("*").alias("_c"),
         *[merge[kind](name).alias(name) for name, (kind, _) in carry.items()],
     )
 
@@ -98,110 +100,110 @@ def distribution(
     quantiles = QUARTILES if quantiles is None else dict(quantiles)
     carry = dict(carry or {})
     group = [*by, "variable"]
-    bucket = F.coalesce(magnitude_bucket("value", bits), F.lit(MISSING))
-    counts = value_counts(df, by, values, carry).withColumn("bucket", bucket)
+    bucket = F.coalesce(magnitude_bucket("_v", bits), F.lit(MISSING))
+    counts = value_counts(df, by, values, carry).withColumn("_bucket", bucket)
 
-    v, c = F.col("value"), F.col("c")
+    v, c = F.col("_v"), F.col("_c")
     off = v - _anchor(v, bits)
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
     carried = lambda: [merge[kind](name).alias(name) for name, (kind, _) in carry.items()]
-    hist = counts.groupBy(*group, "bucket").agg(
-        F.sum("c").alias("c"),
-        F.sum(c * v).alias("s"),
-        F.first(_anchor(v, bits)).alias("at"),
-        F.sum(c * off).alias("d1"),
-        F.sum(c * off * off).alias("d2"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
+    hist = counts.groupBy(*group, "_bucket").agg(
+        F.sum("_c").alias("_c"),
+        F.sum(c * v).alias("_s"),
+        F.first(_anchor(v, bits)).alias("_at"),
+        F.sum(c * off).alias("_d1"),
+        F.sum(c * off * off).alias("_d2"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
         *carried(),
     )
     # one short window per group: its rows are the occupied buckets, not the data
     whole = Window.partitionBy(*group)
-    here = F.col("bucket") != MISSING
-    known = F.when(here, F.col("c")).otherwise(0)
+    here = F.col("_bucket") != MISSING
+    known = F.when(here, F.col("_c")).otherwise(0)
     hist = hist.select(
         "*",
-        F.sum(known).over(whole).alias("n"),
-        F.try_divide(F.sum("s").over(whole), F.sum(known).over(whole)).alias("mean"),
+        F.sum(known).over(whole).alias("_n"),
+        F.try_divide(F.sum("_s").over(whole), F.sum(known).over(whole)).alias("_mean"),
         F.sum(known)
-        .over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-        .alias("upto"),
+        .over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+        .alias("_upto"),
     )
-    bucket_mean = F.col("at") + F.col("d1") / F.col("c")
-    spread = F.col("d2") - F.col("d1") * F.col("d1") / F.col("c")
-    spread = spread + F.col("c") * (bucket_mean - F.col("mean")) * (bucket_mean - F.col("mean"))
+    bucket_mean = F.col("_at") + F.col("_d1") / F.col("_c")
+    spread = F.col("_d2") - F.col("_d1") * F.col("_d1") / F.col("_c")
+    spread = spread + F.col("_c") * (bucket_mean - F.col("_mean")) * (bucket_mean - F.col("_mean"))
 
     def ranks(p: float) -> tuple[Column, Column, Column]:
-        at = F.lit(p) * (F.col("n") - 1)
+        at = F.lit(p) * (F.col("_n") - 1)
         return F.floor(at), F.ceil(at), at - F.floor(at)
 
     def holds(rank: Column) -> Column:
-        return (rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto"))
+        return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
 
     # a group without any value keeps its row of missing values
-    wanted = F.col("n") == 0
+    wanted = F.col("_n") == 0
     for p in quantiles.values():
         for r in ranks(p)[:2]:
             wanted = wanted | (here & holds(r))
-    mark = F.struct("bucket", (F.col("upto") - F.col("c")).alias("before"))
+    mark = F.struct("_bucket", (F.col("_upto") - F.col("_c")).alias("_before"))
     stats = hist.groupBy(*group).agg(
-        F.sum("c").alias("n_rows"),
-        F.max("n").alias("n"),
-        F.sum("s").alias("sum"),
-        F.max("mean").alias("mean"),
+        F.sum("_c").alias("n_rows"),
+        F.max("_n").alias("n"),
+        F.sum("_s").alias("sum"),
+        F.max("_mean").alias("mean"),
         F.sqrt(
             F.try_divide(
                 F.greatest(F.sum(F.when(here, spread)), F.lit(0.0)),
-                F.when(F.max("n") > 1, F.max("n") - 1),
+                F.when(F.max("_n") > 1, F.max("_n") - 1),
             )
         ).alias("sd"),
-        F.min("lo").alias("min"),
-        F.max("hi").alias("max"),
-        F.coalesce(F.sum(F.when(F.col("bucket") == 0, F.col("c"))), F.lit(0)).alias("n_zero"),
-        F.coalesce(F.sum(F.when(here & (F.col("bucket") < 0), F.col("c"))), F.lit(0)).alias("n_negative"),
+        F.min("_lo").alias("min"),
+        F.max("_hi").alias("max"),
+        F.coalesce(F.sum(F.when(F.col("_bucket") == 0, F.col("_c"))), F.lit(0)).alias("n_zero"),
+        F.coalesce(F.sum(F.when(here & (F.col("_bucket") < 0), F.col("_c"))), F.lit(0)).alias("n_negative"),
         *carried(),
-        *([F.collect_list(F.when(wanted, mark)).alias("marks")] if quantiles else []),
+        *([F.collect_list(F.when(wanted, mark)).alias("_marks")] if quantiles else []),
     )
     if not quantiles:
         return stats
-    names = [x for x in stats.columns if x not in (*group, "marks")]
-    marks = stats.select(*group, "n", F.struct(*names).alias("stats"), F.inline("marks"))
-    inside = Window.partitionBy(*group, "bucket").orderBy("value")
-    ranked = counts.join(marks, [*group, "bucket"]).withColumn(
-        "upto",
-        F.col("before") + F.sum("c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+    names = [x for x in stats.columns if x not in (*group, "_marks")]
+    marks = stats.select(*group, F.col("n").alias("_n"), F.struct(*names).alias("_stats"), F.inline("_marks"))
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
+    ranked = counts.join(marks, [*group, "_bucket"]).withColumn(
+        "_upto",
+        F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
     )
     picks = []
     for name, p in quantiles.items():
         lo, hi, frac = ranks(p)
-        low, high = (F.max(F.when(holds(r), F.col("value"))) for r in (lo, hi))
+        low, high = (F.max(F.when(holds(r), F.col("_v"))) for r in (lo, hi))
         picks.append((low + (high - low) * F.max(frac)).alias(name))
     # reading the carried columns here too leaves both readers of the value counts
     # with the same columns, so that one exchange, and one scan, serves both
     again = [m.alias(f"{name}_part") for m, name in zip(carried(), carry)]
-    found = ranked.groupBy(*group).agg(F.first("stats").alias("stats"), *picks, *again)
-    settled = lambda x: F.coalesce(F.col(f"stats.{x}"), F.col(f"{x}_part")).alias(x) if x in carry else F.col(f"stats.{x}")
+    found = ranked.groupBy(*group).agg(F.first("_stats").alias("_stats"), *picks, *again)
+    settled = lambda x: F.coalesce(F.col(f"_stats.{x}"), F.col(f"{x}_part")).alias(x) if x in carry else F.col(f"_stats.{x}")
     return found.select(*group, *[settled(x) for x in names], *quantiles)
 
 
 def ranks_within(df: DataFrame, by: Sequence[str], value: str, bits: int = 12) -> DataFrame:
     """(by, value, avg_rank): tie-averaged ranks for groups too large for one window."""
-    known = present(df, [*by, value]).select(*by, F.col(value).cast("double").alias("value"))
-    counts = known.groupBy(*by, "value").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("bucket", F.coalesce(magnitude_bucket("value", bits), F.lit(MISSING)))
-    hist = counts.groupBy(*by, "bucket").agg(F.sum("c").alias("bc"))
-    run = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("before", F.sum("bc").over(run) - F.col("bc"))
-    inside = Window.partitionBy(*by, "bucket").orderBy("value")
+    known = present(df, [*by, value]).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_bucket", F.coalesce(magnitude_bucket("_v", bits), F.lit(MISSING)))
+    hist = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_bc"))
+    run = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_before", F.sum("_bc").over(run) - F.col("_bc"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
     return (
-        counts.join(hist, [*by, "bucket"])
+        counts.join(hist, [*by, "_bucket"])
         .withColumn(
-            "upto",
-            F.col("before") + F.sum("c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "_upto",
+            F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         )
         .select(
             *by,
-            F.col("value").alias(value),
-            (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("avg_rank"),
+            F.col("_v").alias(value),
+            (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"),
         )
     )

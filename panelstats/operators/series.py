@@ -175,16 +175,16 @@ def resample_month(
     df: DataFrame, by: Sequence[str], date: str, aggs: Mapping[str, Column]
 ) -> DataFrame:
     """Month buckets between first and last date of each group; empty months give missing."""
-    keyed = df.dropna(subset=[*by, date]).withColumn("month", month_start(date))
-    monthly = keyed.groupBy(*by, "month").agg(*[c.alias(name) for name, c in aggs.items()])
+    keyed = df.dropna(subset=[*by, date]).withColumn("_found", month_start(date))
+    monthly = keyed.groupBy(*by, "_found").agg(*[c.alias(name) for name, c in aggs.items()])
     # the spine is laid between the months found, so the facts are read once
-    ahead = F.lead("month").over(Window.partitionBy(*by).orderBy("month"))
-    last_before = F.coalesce(F.add_months(ahead, -1), F.col("month"))
-    spans = monthly.withColumn("until", last_before)
-    steps = F.sequence("month", "until", F.expr("interval 1 month"))
-    filled = spans.select("*", F.explode(steps).alias("m"))
-    here = F.col("m") == F.col("month")
-    return filled.select(*by, F.col("m").alias("month"), *[F.when(here, F.col(n)).alias(n) for n in aggs])
+    ahead = F.lead("_found").over(Window.partitionBy(*by).orderBy("_found"))
+    last_before = F.coalesce(F.add_months(ahead, -1), F.col("_found"))
+    spans = monthly.withColumn("_until", last_before)
+    steps = F.sequence("_found", "_until", F.expr("interval 1 month"))
+    filled = spans.select("*", F.explode(steps).alias("month"))
+    here = F.col("month") == F.col("_found")
+    return filled.select(*by, "month", *[F.when(here, F.col(n)).alias(n) for n in aggs])
 
 
 def series_for_plot(frames: Mapping[str, tuple[DataFrame, str, Sequence[str], str | None]]) -> DataFrame:

@@ -55,20 +55,20 @@ def _with_runs(df: DataFrame, by: Sequence[str], order: str, state: str) -> Data
     starts = F.when(before.isNull() | (before != F.col(state)), 1).otherwise(0)
     marked = df.select(
         "*",
-        (F.row_number().over(w) - 1).alias("idx"),
-        (F.col(state) - before).alias("step"),
-        starts.alias("starts"),
+        (F.row_number().over(w) - 1).alias("_idx"),
+        (F.col(state) - before).alias("_step"),
+        starts.alias("_starts"),
     )
     return marked.withColumn(
-        "run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("starts")
+        "_run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop("_starts")
 
 
 def transitions(df: DataFrame, by: Sequence[str], order: str, state: str) -> DataFrame:
     """Falls (1 to 0) and rises (0 to 1) per group."""
     return _with_runs(df, by, order, state).groupBy(*by).agg(
-        F.count_if(F.col("step") == -1).alias("wet_to_dry"),
-        F.count_if(F.col("step") == 1).alias("dry_to_wet"),
+        F.count_if(F.col("_step") == -1).alias("wet_to_dry"),
+        F.count_if(F.col("_step") == 1).alias("dry_to_wet"),
     )
 
 
@@ -80,16 +80,16 @@ def spells(df: DataFrame, by: Sequence[str], order: str, state: str) -> DataFram
     """
     runs = (
         _with_runs(df.dropna(subset=[*by, state]), by, order, state)
-        .groupBy(*by, "run", state)
+        .groupBy(*by, "_run", state)
         .agg(
             F.min(order).alias("start"),
             F.max(order).alias("end"),
             F.count("*").alias("length"),
-            F.min("idx").cast("bigint").alias("start_index"),
-            F.max("idx").cast("bigint").alias("end_index"),
+            F.min("_idx").cast("bigint").alias("start_index"),
+            F.max("_idx").cast("bigint").alias("end_index"),
         )
     )
-    number = F.row_number().over(Window.partitionBy(*by, state).orderBy("run"))
+    number = F.row_number().over(Window.partitionBy(*by, state).orderBy("_run"))
     return runs.select(*by, state, number.cast("bigint").alias("spell_id"), "start", "end", "length",
                        "start_index", "end_index")
 
@@ -104,40 +104,40 @@ def spells_chunked(
     how many rows and how many spells of each state came earlier; with that every
     run knows its spell, and runs of one spell are merged.
     """
-    cut = df.dropna(subset=[*by, state]).withColumn("chunk", chunk)
-    local = [*by, "chunk"]
+    cut = df.dropna(subset=[*by, state]).withColumn("_chunk", chunk)
+    local = [*by, "_chunk"]
     runs = (
         _with_runs(cut, local, order, state)
-        .groupBy(*local, "run", state)
+        .groupBy(*local, "_run", state)
         .agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"),
-             F.min("idx").alias("first_idx"))
+             F.min("_idx").alias("_first_idx"))
     )
     per_chunk = runs.groupBy(*local).agg(
-        F.sum("length").alias("n"),
-        F.min_by(state, "run").alias("first_state"),
-        F.max_by(state, "run").alias("last_state"),
-        F.count_if(F.col(state) == 0).alias("n0"),
-        F.count_if(F.col(state) == 1).alias("n1"),
+        F.sum("length").alias("_n"),
+        F.min_by(state, "_run").alias("_first_state"),
+        F.max_by(state, "_run").alias("_last_state"),
+        F.count_if(F.col(state) == 0).alias("_n0"),
+        F.count_if(F.col(state) == 1).alias("_n1"),
     )
-    along = Window.partitionBy(*by).orderBy("chunk")
+    along = Window.partitionBy(*by).orderBy("_chunk")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.withColumn("prev", F.lag("last_state").over(along))
+    per_chunk = per_chunk.withColumn("_prev", F.lag("_last_state").over(along))
     # the first run of a chunk may continue the last run before it
-    carried = F.coalesce((F.col("prev") == F.col("first_state")).cast("int"), F.lit(0))
-    per_chunk = per_chunk.withColumn("carried", carried)
-    opened = lambda k: F.col(f"n{k}") - F.when(F.col("first_state") == k, F.col("carried")).otherwise(0)
+    carried = F.coalesce((F.col("_prev") == F.col("_first_state")).cast("int"), F.lit(0))
+    per_chunk = per_chunk.withColumn("_carried", carried)
+    opened = lambda k: F.col(f"_n{k}") - F.when(F.col("_first_state") == k, F.col("_carried")).otherwise(0)
     before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     summary = per_chunk.select(
-        *local, "first_state", "carried", before(F.col("n")).alias("offset"),
-        before(opened(0)).alias("base0"), before(opened(1)).alias("base1"),
+        *local, "_first_state", "_carried", before(F.col("_n")).alias("_offset"),
+        before(opened(0)).alias("_base0"), before(opened(1)).alias("_base1"),
     )
-    same = F.col(state) == F.col("first_state")
+    same = F.col(state) == F.col("_first_state")
     # states alternate inside a chunk, so a run's place among its state follows from its number
-    place = F.floor((F.col("run") - F.when(same, 1).otherwise(2)) / 2) + 1 - F.when(same, F.col("carried")).otherwise(0)
-    base = F.when(F.col(state) == 1, F.col("base1")).otherwise(F.col("base0"))
+    place = F.floor((F.col("_run") - F.when(same, 1).otherwise(2)) / 2) + 1 - F.when(same, F.col("_carried")).otherwise(0)
+    base = F.when(F.col(state) == 1, F.col("_base1")).otherwise(F.col("_base0"))
     numbered = runs.join(summary, local).select(
         *by, state, (base + place).cast("bigint").alias("spell_id"), "start", "end", "length",
-        (F.col("offset") + F.col("first_idx")).alias("start_index"),
+        (F.col("_offset") + F.col("_first_idx")).alias("start_index"),
     )
     return (
         numbered.groupBy(*by, state, "spell_id")
@@ -162,22 +162,22 @@ def hydroperiod(
     """
     absent = F.raise_error(F.lit(f"missing {level}: the state needs a complete series")).cast("int")
     wet_state = F.coalesce(state_flag(level, threshold), absent)
-    rows = df.dropna(subset=list(by)).withColumn("state", wet_state)
-    runs = _with_runs(rows, by, date, "state")
-    in_run = Window.partitionBy(*by, "run")
+    rows = df.dropna(subset=list(by)).withColumn("_state", wet_state)
+    runs = _with_runs(rows, by, date, "_state")
+    in_run = Window.partitionBy(*by, "_run")
     runs = runs.select(
         "*",
-        F.count("*").over(in_run).alias("run_length"),
-        F.min(date).over(in_run).alias("run_start"),
-        F.max(date).over(in_run).alias("run_end"),
+        F.count("*").over(in_run).alias("_run_length"),
+        F.min(date).over(in_run).alias("_run_start"),
+        F.max(date).over(in_run).alias("_run_end"),
     )
-    wet, dry = F.col("state") == 1, F.col("state") == 0
-    opens = F.col(date) == F.col("run_start")
+    wet, dry = F.col("_state") == 1, F.col("_state") == 0
+    opens = F.col(date) == F.col("_run_start")
     h = F.col(level).cast("double")
     # longest dry run, earliest on ties: the smallest of (-length, start)
-    worst = F.min(F.when(dry, F.struct((-F.col("run_length")).alias("n"), F.col("run_start").alias("s"),
-                                       F.col("run_end").alias("e"))))
-    first = F.min(F.when(dry, F.struct(F.col("run_start").alias("s"), F.col("run_length").alias("n"))))
+    worst = F.min(F.when(dry, F.struct((-F.col("_run_length")).alias("n"), F.col("_run_start").alias("s"),
+                                       F.col("_run_end").alias("e"))))
+    first = F.min(F.when(dry, F.struct(F.col("_run_start").alias("s"), F.col("_run_length").alias("n"))))
     q = F.percentile(h, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
     out = runs.groupBy(*by).agg(
         *[F.min(c).alias(c) for c in keep],
@@ -188,14 +188,14 @@ def hydroperiod(
         F.count_if(dry).alias("dry_days"),
         F.count_if(opens & wet).alias("n_wet_spells"),
         F.count_if(opens & dry).alias("n_dry_spells"),
-        F.count_if(F.col("step") == -1).alias("wet_to_dry"),
-        F.count_if(F.col("step") == 1).alias("dry_to_wet"),
-        F.coalesce(F.max(F.when(wet, F.col("run_length"))), F.lit(0)).alias("longest_wet"),
-        F.coalesce(F.max(F.when(dry, F.col("run_length"))), F.lit(0)).alias("longest_dry"),
-        first.alias("first"),
-        worst.alias("worst"),
+        F.count_if(F.col("_step") == -1).alias("wet_to_dry"),
+        F.count_if(F.col("_step") == 1).alias("dry_to_wet"),
+        F.coalesce(F.max(F.when(wet, F.col("_run_length"))), F.lit(0)).alias("longest_wet"),
+        F.coalesce(F.max(F.when(dry, F.col("_run_length"))), F.lit(0)).alias("longest_dry"),
+        first.alias("_first"),
+        worst.alias("_worst"),
         F.avg(h).alias("mean_level"),
-        q.alias("q"),
+        q.alias("_q"),
         F.max(h).alias("max_level"),
         F.avg(F.when(h > 0, h)).alias("mean_positive_level"),
         F.median(F.when(h > 0, h)).alias("median_positive_level"),
@@ -206,14 +206,14 @@ def hydroperiod(
         (F.col("wet_days") / F.col("n_days")).alias("wet_fraction"),
         (F.col("dry_days") / F.col("n_days")).alias("dry_fraction"),
         "n_wet_spells", "n_dry_spells", "wet_to_dry", "dry_to_wet", "longest_wet", "longest_dry",
-        F.col("first.s").alias("first_dry_start"),
-        F.coalesce("first.n", F.lit(0)).alias("first_dry_length"),
-        F.datediff("first.s", "start_date").alias("days_to_first_dry"),
-        F.col("worst.s").alias("longest_dry_start"),
-        F.col("worst.e").alias("longest_dry_end"),
+        F.col("_first.s").alias("first_dry_start"),
+        F.coalesce("_first.n", F.lit(0)).alias("first_dry_length"),
+        F.datediff("_first.s", "start_date").alias("days_to_first_dry"),
+        F.col("_worst.s").alias("longest_dry_start"),
+        F.col("_worst.e").alias("longest_dry_end"),
         "mean_level",
-        F.col("q")[1].alias("median_level"), F.col("q")[0].alias("p25_level"),
-        F.col("q")[2].alias("p75_level"), F.col("q")[3].alias("p95_level"),
+        F.col("_q")[1].alias("median_level"), F.col("_q")[0].alias("p25_level"),
+        F.col("_q")[2].alias("p75_level"), F.col("_q")[3].alias("p95_level"),
         "max_level", "mean_positive_level", "median_positive_level", "cumulative_level",
     )
 

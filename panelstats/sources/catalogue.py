@@ -30,17 +30,16 @@ DEPOSIT_SCHEMA = (
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-document JSON files with their name; a broken file stays as an empty record."""
-    return (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-        .withColumn("file_name", F.col("_metadata.file_name"))
-    )
+    text = spark.read.text(path, wholetext=True)
+    parsed = text.select(F.col("_metadata.file_name").alias("file_name"), F.from_json("value", schema).alias("r"))
+    return parsed.select("file_name", "r.*")
 
 
-def require_status(df: DataFrame, status: str = "status", ok: str = "OK") -> DataFrame:
-    """Abort when a response reports anything but success."""
+def require_status(df: DataFrame, payload: str = "data", status: str = "status", ok: str = "OK") -> DataFrame:
+    """Abort when the payload of a response that reports anything but success is read."""
     message = F.concat(F.lit("response status: "), F.coalesce(F.col(status), F.lit("NULL")))
-    good = F.when(F.col(status) == ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    return df.where(good)
+    checked = F.when(F.col(status) == ok, F.col(payload)).otherwise(F.raise_error(message).cast(df.schema[payload].dataType))
+    return df.withColumn(payload, checked)
 
 
 def flatten_catalogue(df: DataFrame) -> DataFrame:
