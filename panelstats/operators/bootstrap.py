@@ -9,11 +9,12 @@ replicates is one gather and one matrix product, and nothing is regrouped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -57,34 +58,45 @@ def batch_slopes(
     return pd.Series(out)
 
 
-def replicate_slopes(
+def slope_batches(
     df: DataFrame, by: Sequence[str], x: str, y: str,
     block_lengths: Sequence[int], n_boot: int, seed: int,
 ) -> DataFrame:
-    """(by, block_length, observed_slope, slope): one row per replicate."""
+    """(by, block_length, observed_slope, slopes): one row per batch of replicates."""
     line = detrend(df, by, x, y).withColumn("_x", F.col(x).cast("double"))
     packed = line.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.struct("_x", F.col("residual").alias("e")))).alias("p"),
-        F.avg("_x").alias("mx"),
-        (F.var_pop("_x") * F.count("*")).alias("sxx"),
+        F.count("*").alias("_n"),
+        F.array_sort(F.collect_list(F.struct("_x", F.col("residual").alias("e")))).alias("_p"),
+        F.avg("_x").alias("_mx"),
+        (F.var_pop("_x") * F.count("*")).alias("_sxx"),
         F.regr_slope(F.col(y).cast("double"), F.col("_x")).alias("observed_slope"),
-    ).where("n >= 3 and sxx > 0")
+    ).where("_n >= 3 and _sxx > 0")
     series = packed.select(
-        *by, "observed_slope", F.col("p.e").alias("e"),
-        F.transform("p._x", lambda v: (v - F.col("mx")) / F.col("sxx")).alias("w"),
+        *by, "observed_slope", F.col("_p.e").alias("_e"),
+        F.transform("_p._x", lambda v: (v - F.col("_mx")) / F.col("_sxx")).alias("_w"),
     )
-    # small work units, spread evenly: one per series, block length and batch
+    # Small work units, spread evenly: one per series, block length and batch. The rows are
+    # light and the work is not, so the number of tasks is named and not left to row sizes.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = (
         series.withColumn("block_length", F.explode(F.array(*[F.lit(int(b)) for b in block_lengths])))
-        .withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BATCH))))
-        .repartition(*by, "block_length", "batch")
+        .withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BATCH))))
+        .repartition(tasks, *by, "block_length", "_batch")
     )
-    first = F.col("batch") * BATCH
+    first = F.col("_batch") * BATCH
     last = F.least(first + BATCH, F.lit(n_boot)) - 1
     key = F.xxhash64(F.lit(seed), *by, "block_length")
-    slopes = batch_slopes(key, "observed_slope", "e", "w", "block_length", first, last)
-    return work.select(*by, "block_length", "observed_slope", F.explode(slopes).alias("slope"))
+    slopes = batch_slopes(key, "observed_slope", "_e", "_w", "block_length", first, last)
+    return work.select(*by, "block_length", "observed_slope", slopes.alias("slopes"))
+
+
+def replicate_slopes(
+    df: DataFrame, by: Sequence[str], x: str, y: str,
+    block_lengths: Sequence[int], n_boot: int, seed: int,
+) -> DataFrame:
+    """(by, block_length, observed_slope, slope): one row per replicate."""
+    batches = slope_batches(df, by, x, y, block_lengths, n_boot, seed)
+    return batches.select(*by, "block_length", "observed_slope", F.explode("slopes").alias("slope"))
 
 
 def block_bootstrap(
@@ -92,17 +104,26 @@ def block_bootstrap(
     block_lengths: Sequence[int] = (3, 4, 5), n_boot: int = 20_000, seed: int = 20260829,
 ) -> DataFrame:
     """Per series and block length: observed slope, residual memory, bootstrap median,
-    2.5 % and 97.5 % quantiles and the share of negative slopes."""
-    slopes = replicate_slopes(df, by, x, y, block_lengths, n_boot, seed)
-    q = F.percentile("slope", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    out = slopes.groupBy(*by, "block_length").agg(
+    2.5 % and 97.5 % quantiles and the share of negative slopes.
+
+    The replicates of a series come together again as one array of ``n_boot`` numbers.
+    """
+    batches = slope_batches(df, by, x, y, block_lengths, n_boot, seed)
+    whole = batches.groupBy(*by, "block_length").agg(
         F.first("observed_slope").alias("observed_slope"),
-        q.alias("q"),
-        F.avg((F.col("slope") < 0).cast("double")).alias("share_negative"),
+        F.sort_array(F.flatten(F.collect_list("slopes"))).alias("_s"),
     )
+
+    def quantile(p: float) -> Column:
+        at = p * (n_boot - 1)
+        low = math.floor(at)
+        a, b = F.element_at("_s", low + 1), F.element_at("_s", min(low + 2, n_boot))
+        return a + (b - a) * (at - low)
+
+    negative = F.size(F.filter("_s", lambda v: v < 0)) / F.size("_s")
     memory = residual_memory(df, by, x, y).select(*by, "lag1", "durbin_watson")
-    return out.join(memory, list(by)).select(
+    return whole.join(memory, list(by)).select(
         *by, "block_length", "observed_slope", F.col("lag1").alias("residual_lag1"), "durbin_watson",
-        F.col("q")[1].alias("median_slope"), F.col("q")[0].alias("low95"), F.col("q")[2].alias("high95"),
-        "share_negative",
+        quantile(0.5).alias("median_slope"), quantile(0.025).alias("low95"), quantile(0.975).alias("high95"),
+        negative.alias("share_negative"),
     )

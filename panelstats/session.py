@@ -30,6 +30,8 @@ def build_session(cores: int | str = "*", app: str = "panelstats", **extra: str)
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # lets the JVM compile the long methods generated for wide aggregates
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
