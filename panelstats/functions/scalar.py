@@ -264,6 +264,14 @@ def standard_error(sd: str | Column, n: str | Column) -> Column:
     return F.try_divide(col(sd), F.sqrt(col(n).cast("double")))
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation over rows that hold both; NULL when either side does not vary."""
+    a = F.when(col(y).isNotNull(), col(x).cast("double"))
+    b = F.when(col(x).isNotNull(), col(y).cast("double"))
+    r = F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+
+
 def share_true(condition: Column) -> Column:
     """Fraction of all rows; a missing comparison counts as false."""
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstats.functions.scalar import nan_to_null
+from panelstats.functions.scalar import nan_to_null, pearson
 from panelstats.operators.distribution import ranks_within
 
 
@@ -45,8 +45,8 @@ def correlate_pairs(pairs: DataFrame, by: Sequence[str], long_series: bool = Fal
         )
     return ranked.groupBy(*by).agg(
         F.count("*").alias("n"),
-        nan_to_null(F.corr("x", "y")).alias("pearson_r"),
-        nan_to_null(F.corr("rx", "ry")).alias("spearman_rho"),
+        pearson("x", "y").alias("pearson_r"),
+        pearson("rx", "ry").alias("spearman_rho"),
     )
 
 

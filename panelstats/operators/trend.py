@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstats.functions.pvalues import kendall_exact, kendall_normal, p_slope
-from panelstats.functions.scalar import is_finite, nan_to_null
+from panelstats.functions.scalar import is_finite, nan_to_null, pearson
 
 # longest series whose slopes are listed at once; longer ones use rank selection
 DIRECT_POINTS = 1500
@@ -206,7 +206,7 @@ def residual_memory(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFra
     steps = detrend(df, by, x, y).withColumn("before", F.lag("residual").over(w))
     return steps.groupBy(*by).agg(
         F.count("*").alias("n"),
-        nan_to_null(F.when(F.count("*") >= 3, F.corr("before", "residual"))).alias("lag1"),
+        F.when(F.count("*") >= 3, pearson("before", "residual")).alias("lag1"),
         F.try_divide(
             F.sum((F.col("residual") - F.col("before")) * (F.col("residual") - F.col("before"))),
             F.sum(F.col("residual") * F.col("residual")),

@@ -195,3 +195,14 @@ def test_best_lag_ties_take_the_first(spark, rows):
         [("v", 0, 5, 0.1, None), ("v", 1, 5, 0.1, -0.6), ("v", 3, 5, 0.1, 0.6), ("w", 0, 5, None, None)],
         "variable string, lag int, n long, pearson_r double, spearman_rho double")
     assert rows(correlation.best_lag(df, ["variable"]), "variable", "best_lag", "spearman_rho") == [("v", 1, -0.6)]
+
+
+def test_constant_sides_give_missing(spark):
+    df = spark.createDataFrame([(2001, float(i), 1.0, None) for i in range(5)], "year int, y double, flat double, none double")
+    c = {r.variable: r for r in correlation.correlate(df, ["year"], "y", ["flat", "none"]).collect()}
+    assert (c["flat"].n, c["flat"].pearson_r, c["flat"].spearman_rho) == (5, None, None) and "none" not in c
+    m = trend.residual_memory(frame(spark, [1, 1, 1, 1]), ["series"], "year", "value").first()
+    assert m.lag1 is None and m.durbin_watson is None
+    same_x = spark.createDataFrame([("s", 1, float(i)) for i in range(4)], "series string, year int, value double")
+    t = trend.trend_table(same_x, ["series"], "year", "value").first()
+    assert t.n == 4 and t.ols_slope is None and t.kendall_tau is None and t.theil_sen_slope is None
