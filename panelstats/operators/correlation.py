@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstats.functions.scalar import nan_to_null, pearson
-from panelstats.operators.distribution import ranks_within
+from panelstats.operators.distribution import distribution, ranks_within
 
 
 def avg_rank(value: str, by: Sequence[str]) -> Column:
@@ -199,14 +199,16 @@ def pivot_matrix(matrix: DataFrame, by: Sequence[str], entities: Sequence[str])
 
 
 def correlation_summary(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Finite upper triangle per group: mean, median, extremes, and number of sensors."""
+    """Finite upper triangle per group: mean, exact median, extremes, and number of sensors.
+
+    The pairs grow with the square of the sensors, so the median is not gathered in one
+    place. Both parts read the matrix: hand in a stored one when it is costly.
+    """
     ends = F.explode(F.array("a", "b"))
     n = matrix.select(*by, ends.alias("e")).dropDuplicates().groupBy(*by).agg(F.count("*").alias("n_entities"))
-    r = matrix.where("r is not null").groupBy(*by).agg(
-        F.count("*").alias("n_pairs"),
-        F.avg("r").alias("mean_r"),
-        F.median("r").alias("median_r"),
-        F.min("r").alias("min_r"),
-        F.max("r").alias("max_r"),
+    r = distribution(matrix.where("r is not null"), by, ["r"], {"median": 0.5}).select(
+        *by, F.col("n").alias("n_pairs"), F.col("mean").alias("mean_r"), F.col("median").alias("median_r"),
+        F.col("min").alias("min_r"), F.col("max").alias("max_r"),
     )
+    # without groups both sides are a single row
     return n.join(r, list(by), "left") if by else n.join(F.broadcast(r))

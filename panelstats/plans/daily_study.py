@@ -92,7 +92,7 @@ def sensor_tables(
     merged = materialise(
         platform.select(p, c.date, F.col("mean").alias("signal")).join(surface, [p, c.date]), "coupled")
     variables = [col for col in surface.columns if col not in (p, c.date)]
-    matrix = correlation.correlation_matrix(r, [p], c.date, "sensor_id", value)
+    matrix = materialise(correlation.correlation_matrix(r, [p], c.date, "sensor_id", value), "matrix")
     lagged = materialise(correlation.correlate_lagged(merged, [p], c.date, "signal", variables, lags), "lagged")
     return {
         "sensor_summary": series.entity_summary(r, [p, c.group, sensor], c.date, value),

@@ -75,7 +75,11 @@ def resolve_alias(sheets: DataFrame, candidates: Sequence[str]) -> DataFrame:
 
 
 def label_summary(cells: DataFrame, by: Sequence[str], pattern: str, sep: str = " || ") -> DataFrame:
-    """Per group: number and joined list of the distinct labels that match."""
+    """Per group: number and joined list of the distinct labels that match.
+
+    The list is one text by definition; labels are made distinct before they are
+    gathered, and a group is a sheet's header area.
+    """
     labels = scan_cells(cells, pattern).select(*by, "text").dropDuplicates()
     return labels.groupBy(*by).agg(
         F.count("*").alias("n_matches"),
