@@ -26,10 +26,11 @@ def _octave(a: Column) -> Column:
     return F.floor(raw).cast("double")
 
 
-def magnitude_bucket(value: str | Column, bits: int = 12) -> Column:
+def magnitude_bucket(value: str | Column, bits: int = 12, octave: Column | None = None) -> Column:
     """Monotone bucket number; 0 only for zero, negative only for negative values."""
     v = F.col(value) if isinstance(value, str) else value
-    a, octave = F.abs(v), _octave(F.abs(v))
+    a = F.abs(v)
+    octave = _octave(a) if octave is None else octave
     part = F.when(a == float("inf"), 0.0).otherwise(
         F.floor(a / F.pow(F.lit(2.0), octave) * float(1 << bits))
     )
@@ -37,10 +38,10 @@ def magnitude_bucket(value: str | Column, bits: int = 12) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise((F.signum(v) * key).cast("bigint")).cast("bigint")
 
 
-def _anchor(v: Column, bits: int) -> Column:
+def _anchor(v: Column, bits: int, octave: Column) -> Column:
     """Point of the value's bucket, subtracted before squaring to keep precision."""
     a = F.abs(v)
-    scale = F.pow(F.lit(2.0), _octave(a))
+    scale = F.pow(F.lit(2.0), octave)
     return F.when((v == 0) | (a == float("inf")), 0.0).otherwise(
         F.signum(v) * F.floor(a / scale * float(1 << bits)) / float(1 << bits) * scale
     )
@@ -100,17 +101,19 @@ def distribution(
     quantiles = QUARTILES if quantiles is None else dict(quantiles)
     carry = dict(carry or {})
     group = [*by, "variable"]
-    bucket = F.coalesce(magnitude_bucket("_v", bits), F.lit(MISSING))
-    counts = value_counts(df, by, values, carry).withColumn("_bucket", bucket)
+    # named once and read several times, so that the generated code stays short
+    octave = F.col("_octave")
+    bucket = F.coalesce(magnitude_bucket("_v", bits, octave), F.lit(MISSING))
+    counts = value_counts(df, by, values, carry).withColumn("_octave", _octave(F.abs("_v"))).withColumn("_bucket", bucket)
 
-    v, c = F.col("_v"), F.col("_c")
-    off = v - _anchor(v, bits)
+    v, c, off = F.col("_v"), F.col("_c"), F.col("_off")
+    anchored = counts.withColumn("_anchor", _anchor(v, bits, octave)).withColumn("_off", v - F.col("_anchor"))
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
     carried = lambda: [merge[kind](name).alias(name) for name, (kind, _) in carry.items()]
-    hist = counts.groupBy(*group, "_bucket").agg(
+    hist = anchored.groupBy(*group, "_bucket").agg(
         F.sum("_c").alias("_c"),
         F.sum(c * v).alias("_s"),
-        F.first(_anchor(v, bits)).alias("_at"),
+        F.first("_anchor").alias("_at"),
         F.sum(c * off).alias("_d1"),
         F.sum(c * off * off).alias("_d2"),
         F.min("_v").alias("_lo"),
@@ -169,7 +172,7 @@ def distribution(
     names = [x for x in stats.columns if x not in (*group, "_marks")]
     marks = stats.select(*group, F.col("n").alias("_n"), F.struct(*names).alias("_stats"), F.inline("_marks"))
     inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
-    ranked = counts.join(marks, [*group, "_bucket"]).withColumn(
+    ranked = counts.drop("_octave").join(marks, [*group, "_bucket"]).withColumn(
         "_upto",
         F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
     )
