@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from panelstats.llm import licenses, naming
+from panelstats.llm import counts, licenses, naming, pieces
 from panelstats.llm.common import Query, table
 
 
+SEQUENCE = 1024  # tokens
+
+
+def vocabulary_file(name: str) -> str:
+    """Where the named public vocabulary lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_sentencepiece(spark, folder):
+    return pieces.encode(table(spark, folder, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+def op8_token_counts(spark, folder):
+    return counts.prefix_counts(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"), SEQUENCE)
+
+
 def op9_exact_dedup(spark, folder):
     return naming.copies(table(spark, folder, "documents"))
 
@@ -22,6 +40,8 @@ def op10_license_scan(spark, folder):
 
 
 QUERIES = {
+    "op7_sentencepiece": Query(op7_sentencepiece),
+    "op8_token_counts": Query(op8_token_counts),
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
     "op10_license_scan": Query(op10_license_scan),
 }
