@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, licenses, naming, pieces
+from panelstats.llm import counts, licenses, naming, packing, pieces
 from panelstats.llm.common import Query, table
 
 
@@ -16,6 +16,11 @@ def vocabulary_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"),
+                                  end_id=0, most_tokens=SEQUENCE)
+
+
 def op7_sentencepiece(spark, folder):
     return pieces.encode(table(spark, folder, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
@@ -40,6 +45,7 @@ def op10_license_scan(spark, folder):
 
 
 QUERIES = {
+    "op1_packing": Query(op1_packing),
     "op7_sentencepiece": Query(op7_sentencepiece),
     "op8_token_counts": Query(op8_token_counts),
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
