@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, licenses, naming, packing, pieces
+from panelstats.llm import counts, licenses, naming, packing, pieces, warc
 from panelstats.llm.common import Query, table
 
 
@@ -16,11 +16,33 @@ def vocabulary_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def base32_sql(digest: str) -> str:
+    """SQL for the base-32 form of a hex SHA-1: eight digits for every ten of hex."""
+    parts = []
+    for block in range(4):
+        number = f"('0x' || substr({digest}, {10 * block + 1}, 10))::BIGINT"
+        parts += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({number} >> {35 - 5 * k}) & 31)::INT + 1, 1)" for k in range(8)]
+    return " || ".join(parts)
+
+
 def op1_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"),
                                   end_id=0, most_tokens=SEQUENCE)
 
 
+def op6_warc(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages")).drop("url")
+
+
+OP6_SQL = """
+SELECT page_id, strlen(html) AS payload_bytes, {base32} AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS holder, sha1(html) AS h
+      FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))
+"""
+
+
 def op7_sentencepiece(spark, folder):
     return pieces.encode(table(spark, folder, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
@@ -46,6 +68,7 @@ def op10_license_scan(spark, folder):
 
 QUERIES = {
     "op1_packing": Query(op1_packing),
+    "op6_warc": Query(op6_warc, OP6_SQL.format(base32=base32_sql("h"))),
     "op7_sentencepiece": Query(op7_sentencepiece),
     "op8_token_counts": Query(op8_token_counts),
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
