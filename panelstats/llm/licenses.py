@@ -1,9 +1,10 @@
 """Licence scans: phrase places, and an exact set-similarity join of text lines with templates (no Python on executors).
 
 A line matches a template when it holds at least `threshold` of the template's distinct words. The join never compares
-every line with every template: words are ordered by how many lines of the whole corpus hold them, rarest first, and
+every line with every template: words are ordered by how often the whole corpus has them, rarest first, and
 
-* prefix filter: a line that lacks all of the template's |T| - need + 1 rarest words cannot hold `need` of them;
+* prefix filter: a line that lacks all of the template's |T| - need + 1 rarest words cannot hold `need` of them (texts
+  without any such word are not even cut into lines);
 * length filter: a line with fewer than `need` distinct template words is left out;
 * positional filter: from a shared word at place i of the template and j of the line, at most
   1 + min(words after i, words after j) can be shared.
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from panelstats.llm.common import whole_text
 
-# fixed values: characters that separate words, before and after A-Z are lowered
-APART = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-WORD = f"[^{APART}]+"
+# fixed values: the characters of words, before A-Z are lowered
+LETTER = r"0-9A-Za-z\x{80}-\x{10FFFF}"
+WORD, APART = f"[{LETTER}]+", f"[^{LETTER}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -64,8 +65,8 @@ def _phrase_places(words: Column, n: Column, phrases: Sequence[str]) -> Column:
 
 def _phrase_pattern(phrases: Sequence[str]) -> str:
     """Any of the phrases, A-Z regardless of case, any separators between the words."""
-    one = [f"[{APART}]+".join(p.split(" ")) for p in phrases]
-    return f"(?i)(?<![^{APART}])(?:{'|'.join(one)})(?![^{APART}])"
+    one = [APART.join(p.split(" ")) for p in phrases]
+    return f"(?i)(?<![{LETTER}])(?:{'|'.join(one)})(?![{LETTER}])"
 
 
 def _line_words(docs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
@@ -89,9 +90,9 @@ def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     sets = [(label, sorted(set(text.split(" ")))) for label, text in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     spark = docs.sparkSession
-    lines = _line_words(docs, vocabulary)
-    counted = {r["word"]: r["lines"] for r in  # one row per template word at most
-               lines.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("lines")).collect()}
+    seen = docs.select(F.explode(F.split(F.lower("text"), APART)).alias("word")).where(F.col("word").isin(vocabulary))
+    counted = {r["word"]: r["places"] for r in  # one row per template word at most
+               seen.groupBy("word").agg(F.count("*").alias("places")).collect()}
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     entries = []
     for number, (label, ws) in enumerate(sets):
@@ -100,6 +101,8 @@ def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
         entries += [(order[i], number, label, i, len(order), need, order) for i in range(len(order) - need + 1)]
     index = spark.createDataFrame(
         entries, "rank int, template int, label string, at int, size int, need int, words array<int>")
+    first = sorted({w for w, k in rank.items() if k in {e[0] for e in entries}})
+    lines = _line_words(docs.where(F.col("text").rlike(_phrase_pattern(first))), vocabulary)
     order = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
     ranked = lines.select("doc_id", "text_key", "line_no",
                           F.array_sort(F.transform("held", lambda w: order[w])).alias("ranks"))

@@ -66,11 +66,43 @@ def op10_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op10_sql() -> str:
+    """Every line against every template, and every word place against every phrase."""
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    lowered = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    templates = ", ".join(
+        f"({k}, '{label}', ['{(chr(39) + ', ' + chr(39)).join(sorted(set(text.split())))}'])"
+        for k, (label, text) in enumerate(licenses.TEMPLATES))
+    starts = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) "
+        f"WHERE w[i] = '{p.split()[0]}' AND list_slice(w, i, i + {len(p.split()) - 1}) = ['{(chr(39) + ', ' + chr(39)).join(p.split())}']"
+        for p, label in licenses.PHRASES.items())
+    return f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({lowered}, {word}) AS w FROM documents),
+places AS ({starts}),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({lowered}, chr(10))), {word})) AS w FROM documents),
+templates(k, label, t) AS (VALUES {templates}),
+matched AS (
+  SELECT doc_id, label, len(list_intersect(t, w)) / len(t) AS part
+  FROM lines, templates WHERE len(list_intersect(t, w)) >= ceil(0.8 * len(t) - 1e-9)),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM places GROUP BY 1),
+best AS (SELECT doc_id, max(part) AS part FROM matched GROUP BY 1),
+base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY 1),
+all_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (
+  SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM matched) GROUP BY 1)
+SELECT words.doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+  coalesce(base_names.s, '') AS base_labels, coalesce(all_names.s, '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(part, 0.0) END::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id)
+  LEFT JOIN all_names USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_packing": Query(op1_packing),
     "op6_warc": Query(op6_warc, OP6_SQL.format(base32=base32_sql("h"))),
     "op7_sentencepiece": Query(op7_sentencepiece),
     "op8_token_counts": Query(op8_token_counts),
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
-    "op10_license_scan": Query(op10_license_scan),
+    "op10_license_scan": Query(op10_license_scan, op10_sql()),
 }
