@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, licenses, naming, packing, pieces, warc
+from panelstats.llm import counts, licenses, naming, packing, pieces, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -30,6 +30,22 @@ def op1_packing(spark, folder):
                                   end_id=0, most_tokens=SEQUENCE)
 
 
+def op5_topk(spark, folder):
+    return topk.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
 def op6_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages")).drop("url")
 
@@ -100,6 +116,7 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 
 QUERIES = {
     "op1_packing": Query(op1_packing),
+    "op5_topk": Query(op5_topk, OP5_SQL),
     "op6_warc": Query(op6_warc, OP6_SQL.format(base32=base32_sql("h"))),
     "op7_sentencepiece": Query(op7_sentencepiece),
     "op8_token_counts": Query(op8_token_counts),
