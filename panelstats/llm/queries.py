@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, licenses, naming, packing, pieces, topk, warc
+from panelstats.llm import counts, langid, licenses, naming, packing, pieces, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -30,6 +30,12 @@ def op1_packing(spark, folder):
                                   end_id=0, most_tokens=SEQUENCE)
 
 
+def op3_language_id(spark, folder):
+    model = langid.fit(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    found = langid.identify(table(spark, folder, "pages"), model, "page_id", "html", url_col="url", has_markup=True)
+    return found.withColumnRenamed("id", "page_id").drop("row_key")
+
+
 def op5_topk(spark, folder):
     return topk.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0", 20)
 
@@ -116,6 +122,7 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 
 QUERIES = {
     "op1_packing": Query(op1_packing),
+    "op3_language_id": Query(op3_language_id),
     "op5_topk": Query(op5_topk, OP5_SQL),
     "op6_warc": Query(op6_warc, OP6_SQL.format(base32=base32_sql("h"))),
     "op7_sentencepiece": Query(op7_sentencepiece),
