@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, langid, licenses, naming, packing, pieces, topk, warc
+from panelstats.llm import counts, jaccard, langid, licenses, naming, packing, pieces, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -36,6 +36,10 @@ def op3_language_id(spark, folder):
     return found.withColumnRenamed("id", "page_id").drop("row_key")
 
 
+def op4_near_copies(spark, folder):
+    return jaccard.near_copies(table(spark, folder, "documents"))
+
+
 def op5_topk(spark, folder):
     return topk.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0", 20)
 
@@ -123,6 +127,7 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 QUERIES = {
     "op1_packing": Query(op1_packing),
     "op3_language_id": Query(op3_language_id),
+    "op4_near_copies": Query(op4_near_copies),
     "op5_topk": Query(op5_topk, OP5_SQL),
     "op6_warc": Query(op6_warc, OP6_SQL.format(base32=base32_sql("h"))),
     "op7_sentencepiece": Query(op7_sentencepiece),
