@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, jaccard, langid, licenses, naming, packing, pieces, topk, warc
+from panelstats.llm import counts, jaccard, langid, licenses, naming, packing, pieces, repeats, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -30,6 +30,10 @@ def op1_packing(spark, folder):
                                   end_id=0, most_tokens=SEQUENCE)
 
 
+def op2_repeats(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"), least=50)
+
+
 def op3_language_id(spark, folder):
     model = langid.fit(table(spark, folder, "documents"), "doc_id", "text", "lang")
     found = langid.identify(table(spark, folder, "pages"), model, "page_id", "html", url_col="url", has_markup=True)
@@ -126,6 +130,7 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 
 QUERIES = {
     "op1_packing": Query(op1_packing),
+    "op2_repeats": Query(op2_repeats),
     "op3_language_id": Query(op3_language_id),
     "op4_near_copies": Query(op4_near_copies),
     "op5_topk": Query(op5_topk, OP5_SQL),
