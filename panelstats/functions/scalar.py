@@ -103,11 +103,17 @@ def normal_algorithm(c: str | Column) -> Column:
 
 # ---- numbers --------------------------------------------------------------
 
+NUMBER = r"^[+-]?(?:(?:\d[\d,]*(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|Infinity)$"
+
+
 def parse_number(c: str | Column) -> Column:
-    """Number in invariant notation with optional thousands separators; else NULL."""
-    text = F.regexp_replace(F.trim(col(c).cast("string")), "[, ]", "")
-    plain = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
-    return nan_to_null(plain.try_cast("double"))
+    """Number in invariant notation with optional thousands separators; else NULL.
+
+    Blanks inside, letters other than an exponent, and doubled signs make a text no number.
+    """
+    text = F.trim(col(c).cast("string"))
+    plain = F.regexp_replace(text, r"^\(\s*([^-+\s].*?)\s*\)$", "-$1")
+    return nan_to_null(F.when(plain.rlike(NUMBER), F.regexp_replace(plain, ",", "").try_cast("double")))
 
 
 def to_location(c: str | Column) -> Column:
@@ -164,7 +170,22 @@ def state_flag(level: str | Column, threshold: float | Column = 0.0) -> Column:
 
 # ---- dates ----------------------------------------------------------------
 
-DATE_PATTERNS = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss")
+FIRST_SERIAL, LAST_SERIAL = -657434, 2958465  # years 100 to 9999
+_NAMED = ("d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+_TIMES = ("", " H:mm:ss", " H:mm")
+
+
+def date_patterns(day_first: bool = True) -> tuple[str, ...]:
+    """Date texts that are read; of two numbers before the year the first is the day, or the month.
+
+    A text that is impossible in that order is read in the other.
+    """
+    order = ("d/M/yyyy", "M/d/yyyy") if day_first else ("M/d/yyyy", "d/M/yyyy")
+    plain = ("yyyy-M-d", *order, *(p.replace("/", "-") for p in order), *(p.replace("/", ".") for p in order))
+    return (*(p + t for p in plain for t in _TIMES), *_NAMED, "yyyy-M-d'T'H:mm:ss")
+
+
+DATE_PATTERNS = date_patterns()
 
 
 def parse_serial_date(
@@ -177,7 +198,8 @@ def parse_serial_date(
     With ``expected_year`` a date outside that year is NULL too.
     """
     text = F.trim(col(c).cast("string"))
-    serial = F.floor(text.try_cast("double")).cast("int")
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    serial = F.when(number.between(FIRST_SERIAL, LAST_SERIAL), F.floor(number)).cast("int")
     found = [F.date_add(F.lit("1899-12-30").cast("date"), serial)]
     found += [F.to_date(F.try_to_timestamp(text, F.lit(p))) for p in patterns]
     date = F.coalesce(*found)

@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelstats.session import BROADCAST_ROWS
-
 
 def literal_table(df: DataFrame, rows: Sequence[tuple], like: Sequence[str], extra: Sequence[str]) -> DataFrame:
     """Parameter rows as a table whose key columns take the types they have in ``df``."""
     fields = [T.StructField(c, df.schema[c].dataType) for c in like]
     fields += [T.StructField(c, T.StringType()) for c in extra]
-    table = df.sparkSession.createDataFrame(list(rows), T.StructType(fields))
-    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+    return df.sparkSession.createDataFrame(list(rows), T.StructType(fields))
 
 
 def lookup(df: DataFrame, keys: Sequence[str], mapping: Mapping[tuple, Mapping[str, Sequence]], name: str) -> DataFrame:

@@ -134,11 +134,21 @@ def group_qa(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def identified(key: Sequence[str], period: str) -> Column:
+    """Rows whose period and whole key are known."""
+    known = ~is_blank(F.col(period).cast("string"))
+    for c in key:
+        known = known & ~is_blank(F.col(c).cast("string"))
+    return known
+
+
 def panel_cells(
     df: DataFrame, key: Sequence[str], period: str, area: str, extra: Sequence[Column] = ()
 ) -> DataFrame:
     """One row per (key, period, area), marked where a key or a key-period starts.
 
+    Identified rows come first, so that a key is marked on one of them if it has any.
+
     The marks turn distinct counts into plain counts, so a whole-table summary
     needs no second scan and carries no set that grows with the data.
     """
@@ -146,7 +156,7 @@ def panel_cells(
     per_key, per_pair = Window.partitionBy(*key), Window.partitionBy(*key, period)
     return cells.select(
         "*",
-        (F.row_number().over(per_key.orderBy(period, area)) == 1).alias("first_of_key"),
+        (F.row_number().over(per_key.orderBy(F.desc(identified(key, period)), period, area)) == 1).alias("first_of_key"),
         (F.row_number().over(per_pair.orderBy(area)) == 1).alias("first_of_pair"),
     )
 
@@ -162,16 +172,13 @@ def qa_summary(
 ) -> DataFrame:
     """One row for the whole panel: counts, extremes, extents, duplicates, missing cells."""
     blank = {c: is_blank(F.col(c).cast("string")) for c in [*key, area, period, value, support]}
-    identified = ~blank[period]
-    for c in key:
-        identified = identified & ~blank[c]
     v = F.col(value).cast("double")
     cells = panel_cells(df, key, period, area, [
         F.sum(v).alias("s"), F.count(v).alias("nv"),
         F.min(v).alias("vmin"), F.max(v).alias("vmax"),
         F.min(support).alias("smin"), F.max(support).alias("smax"),
         *[F.count_if(m).alias(f"miss_{c}") for c, m in blank.items()],
-        F.first(identified).alias("ok"),
+        F.first(identified(key, period)).alias("ok"),
     ])
     ok = F.col("ok")
     extents = [
@@ -198,11 +205,11 @@ def qa_summary(
 
 
 def completeness(df: DataFrame, key: Sequence[str], period: str, area: str) -> DataFrame:
-    """Per period: records, distinct keys, and the sorted list of areas seen."""
-    cells = panel_cells(df.dropna(subset=[period]), key, period, area)
+    """Per period: records and distinct keys of identified rows, and the sorted list of all areas seen."""
+    cells = panel_cells(df.dropna(subset=[period]), key, period, area).withColumn("ok", identified(key, period))
     return cells.groupBy(period).agg(
-        F.sum("r").alias("n_records"),
-        F.count_if("first_of_pair").alias("n_keys"),
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("r"))), F.lit(0)).alias("n_records"),
+        F.count_if(F.col("first_of_pair") & F.col("ok")).alias("n_keys"),
         joined_set(area).alias("areas"),
     )
 
@@ -220,10 +227,9 @@ def unstable_keys(df: DataFrame, key: Sequence[str], category: str) -> DataFrame
 def frequency(df: DataFrame, by: str, digits: int = 3) -> DataFrame:
     """Count per value and percent of all rows, rounded half to even, in numeric order."""
     counts = df.groupBy(by).agg(F.count("*").alias("n_records"))
-    total = counts.agg(F.sum("n_records").alias("total"))
-    share = F.bround(100 * F.col("n_records") / F.col("total"), digits).alias("percent")
-    # one total row: the join partner is a single row by construction
-    return counts.join(F.broadcast(total)).select(by, "n_records", share).orderBy(
+    total = df.agg(F.count("*")).scalar()
+    share = F.bround(100 * F.col("n_records") / total, digits).alias("percent")
+    return counts.select(by, "n_records", share).orderBy(
         F.col(by).try_cast("double"), by
     )
 
@@ -288,10 +294,10 @@ def expect_present(expected: DataFrame, found: DataFrame, on: Sequence[str], rul
 
 
 def enforce(report: DataFrame) -> None:
-    """Run a rule report (one row per rule) and abort on the first failures."""
-    broken = report.where(~F.col("passed")).limit(20).toPandas()
-    if len(broken):
-        raise ValueError("; ".join(f"{r.rule}: {r.failed} failed" for r in broken.itertuples()))
+    """Run a rule report (one row per rule) and abort naming every rule that failed."""
+    broken = report.where(~F.col("passed")).orderBy("rule").collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['rule']}: {r['failed']} failed" for r in broken))
 
 
 def diagnostics(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelstats.functions.scalar import clip_lower, state_flag
 from panelstats.operators.joins import cross_axis
+from panelstats.session import new_folder
 
 
 def row_index(df: DataFrame, by: Sequence[str], order: str, name: str = "idx") -> DataFrame:
@@ -42,9 +43,12 @@ def incomplete_groups(df: DataFrame, by: Sequence[str], level: str) -> DataFrame
 
 def require_complete(df: DataFrame, by: Sequence[str], level: str) -> DataFrame:
     """Abort when any group lacks a level; the scope is the rows handed in."""
-    bad = incomplete_groups(df, by, level).limit(5).toPandas()
-    if len(bad):
-        raise ValueError(f"missing {level} in {bad[list(by)].to_dict('records')}")
+    bad = incomplete_groups(df, by, level)
+    found = bad.agg(F.count("*").alias("groups"), F.sum("n_missing").alias("rows")).first()
+    if found["groups"]:
+        path = new_folder(df.sparkSession, "incomplete-groups")
+        bad.write.parquet(path)
+        raise ValueError(f"missing {level} in {found['groups']} groups ({found['rows']} rows), listed in {path}")
     return df
 
 

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from panelstats.functions.pvalues import kendall_exact, kendall_normal, p_slope
 from panelstats.functions.scalar import is_finite, nan_to_null, pearson
 
-# longest series whose slopes are listed at once; longer ones use rank selection
-DIRECT_POINTS = 1500
+LISTED = 1 << 20  # slopes held at once
 
 
 def _tie_sizes(v: np.ndarray) -> np.ndarray:
@@ -60,36 +59,51 @@ def _kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return tau, p
 
 
-def _slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    i, j = np.triu_indices(len(x), k=1)
-    dx = x[j] - x[i]
-    keep = dx != 0
-    return np.sort((y[j][keep] - y[i][keep]) / dx[keep])
+def _slope_parts(x: np.ndarray, y: np.ndarray):
+    """The slopes of all pairs with different x, a bounded number at a time."""
+    n, step = len(x), max(1, LISTED // max(1, len(x)))
+    for a in range(0, n, step):
+        dx = x[None, :] - x[a:a + step, None]
+        later = np.arange(n)[None, :] > np.arange(a, min(a + step, n))[:, None]
+        keep = later & (dx != 0)
+        yield (y[None, :] - y[a:a + step, None])[keep] / dx[keep]
 
 
-def _slope_at_rank(x: np.ndarray, y: np.ndarray, rank: int) -> float:
-    """The slope of the given 0-based rank among all pairs, without listing them.
+def _slopes_at(x: np.ndarray, y: np.ndarray, ranks: list[int]) -> list[float]:
+    """The slopes of the given 0-based ranks among all pairs.
 
-    For a trial slope m the number of smaller slopes equals the number of
-    descents of y - m * x in x order; bisection narrows m to neighbouring doubles.
+    Slopes are counted in bins; the bin that holds a rank is cut again until what is in it can be listed. Every
+    comparison is one of slopes as they are, so the result does not depend on the bins.
     """
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    _, inverse = np.unique(x, return_inverse=True)
-
-    def below(m: float) -> int:
-        z = y - m * x
-        # equal x must not count: order those points by z so that they form no descent
-        return _count_descents(z[np.lexsort((z, inverse))])
-
-    span = (y.max() - y.min()) / np.diff(np.unique(x)).min()
-    lo, hi = -span - 1.0, span + 1.0
-    for _ in range(200):
-        mid = lo + (hi - lo) / 2
-        if mid in (lo, hi):
-            break
-        lo, hi = (mid, hi) if below(mid) <= rank else (lo, mid)
-    return lo + (hi - lo) / 2
+    found = {}
+    for rank in sorted(set(ranks)):
+        lo, hi, before = -math.inf, math.inf, 0  # the slope is in [lo, hi); before: slopes under lo
+        while True:
+            parts, size, low, high = [], 0, math.inf, -math.inf
+            for s in _slope_parts(x, y):
+                s = s[(s >= lo) & (s < hi)] if math.isfinite(hi) or math.isfinite(lo) else s
+                if len(s):
+                    size, low, high = size + len(s), min(low, s.min()), max(high, s.max())
+                    if size <= LISTED:
+                        parts.append(s)
+            if size <= LISTED:
+                found[rank] = float(np.sort(np.concatenate(parts))[rank - before])
+                break
+            if low == high:
+                found[rank] = float(low)
+                break
+            edges = np.unique(np.linspace(low, high, 4097))
+            if len(edges) < 3:
+                edges = np.array([low, high, np.nextafter(high, math.inf)])
+            count = np.zeros(len(edges), np.int64)
+            for s in _slope_parts(x, y):
+                s = s[(s >= low) & (s <= high)]
+                count += np.bincount(np.searchsorted(edges, s, side="right") - 1, minlength=len(edges))
+            upto = before + np.cumsum(count)
+            k = int(np.searchsorted(upto, rank, side="right"))
+            before, lo = int(upto[k] - count[k]), float(edges[k])
+            hi = float(edges[k + 1]) if k + 1 < len(edges) else float(np.nextafter(high, math.inf))
+    return [found[r] for r in ranks]
 
 
 def _theil_sen(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[float, float, float]:
@@ -98,20 +112,16 @@ def _theil_sen(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[float, float
     total = int(n * (n - 1) / 2 - (xt * (xt - 1)).sum() / 2)
     if total == 0:
         return math.nan, math.nan, math.nan
-    if n <= DIRECT_POINTS:
-        listed = _slopes(x, y)
-        at = lambda k: float(listed[k])
-    else:
-        at = lambda k: _slope_at_rank(x, y, k)
-    middle = at(total // 2) if total % 2 else (at(total // 2 - 1) + at(total // 2)) / 2
+    inner = [total // 2] if total % 2 else [total // 2 - 1, total // 2]
     weight = lambda t: float((t * (t - 1) * (2 * t + 5)).sum())
     var = (n * (n - 1) * (2 * n + 5) - weight(xt) - weight(yt)) / 18
     if var < 0:
-        return middle, math.nan, math.nan
+        return float(np.mean(_slopes_at(x, y, inner))), math.nan, math.nan
     reach = normal_quantile(0.5 + alpha / 2) * math.sqrt(var)
     low = max(round((total - reach) / 2) - 1, 0)
     high = min(round((total + reach) / 2), total - 1)
-    return middle, at(low), at(high)
+    *inner, low, high = _slopes_at(x, y, [*inner, low, high])
+    return (inner[0] if total % 2 else (inner[0] + inner[1]) / 2), low, high
 
 
 def normal_quantile(p: float) -> float:

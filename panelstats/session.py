@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Literal parameter tables (mappings, axes) up to this many rows are broadcast;
-# larger ones are joined without a hint and the optimizer decides from sizes.
-BROADCAST_ROWS = 10_000
-
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -41,11 +38,14 @@ def build_session(cores: int | str = "*", app: str = "panelstats", **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by spark.checkpoint.dir."""
+    """The folder every executor can reach, as named by spark.checkpoint.dir.
+
+    Only a session of one process, which has no other executors, gets a folder of its own where none is named.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -93,12 +93,15 @@ def map_positions(
 ) -> DataFrame:
     """Wide rows from cells whose column meaning differs by source.
 
-    ``mapping`` holds (source values.., column, variable); a variable a source lacks is NULL.
+    ``mapping`` holds (source values.., column, variable); a variable a source lacks is NULL, a column
+    without a variable is left out, and a source that the mapping does not know aborts the query.
     """
     keys = [*source, "column"]
     table = literal_table(cells, mapping, keys, ["variable"])
-    body = cells.where((F.col("row") >= first_row) & ~is_blank(_value(cells)))
-    named = body.join(table, keys)
+    known = literal_table(cells, sorted({m[:len(source)] for m in mapping}), source, []).withColumn("_known", F.lit(True))
+    body = cells.where((F.col("row") >= first_row) & ~is_blank(_value(cells))).join(known, list(source), "left")
+    unknown = F.raise_error(F.concat(F.lit("no column mapping for source "), F.to_json(F.struct(*source))))
+    named = body.where(F.coalesce("_known", unknown.cast("boolean"))).join(table, keys)
     return named.groupBy(*source, *[c for c in SHEET if c not in source], "row").pivot(
         "variable", list(variables)
     ).agg(F.first(_value(cells)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def fill_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 # ---- running quality summary ---------------------------------------------
 
 def stream_qa(stream: DataFrame, by: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Running counters and extremes per group; distinct days exactly, by group size of days."""
+    """Running counters and extremes per group. Distinct days are left to ``daily_stream``, which closes them."""
     return stream.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col(value).isNull()).alias("n_missing"),
@@ -58,13 +59,23 @@ def stream_qa(stream: DataFrame, by: Sequence[str], ts: str, value: str) -> Data
         F.max(value).alias("max_value"),
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
-        F.approx_count_distinct(F.to_date(ts)).alias("approx_days"),
     )
 
 
-def stream_duplicates(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys seen more than once so far, with their counts (its own query, complete mode)."""
-    return stream.groupBy(*keys).agg(F.count("*").alias("n_members"))
+def stream_duplicates(
+    stream: DataFrame, keys: Sequence[str], ts: str, watermark: str = "1 day"
+) -> DataFrame:
+    """Days of a key with more than one row, with their counts, once the watermark has closed the day.
+
+    The day is part of the key, so closed days leave the state.
+    """
+    return (
+        stream.withWatermark(ts, watermark)
+        .groupBy(F.window(ts, "1 day").alias("w"), *keys)
+        .agg(F.count("*").alias("n_members"))
+        .where("n_members > 1")
+        .select(*keys, F.to_date("w.start").alias("day"), "n_members")
+    )
 
 
 # ---- daily and monthly buckets -------------------------------------------
@@ -81,10 +92,12 @@ def daily_stream(
     )
 
 
-def monthly_table(daily: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Month-start buckets over the table of closed days."""
-    month = F.trunc("date", "MM")
-    return daily.groupBy(*by, month.alias("month")).agg(
+def monthly_stream(days: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Month-start buckets over a stream of closed days, updated with every batch (complete mode).
+
+    The state is one row per group and month.
+    """
+    return days.groupBy(*by, F.trunc("date", "MM").alias("month")).agg(
         F.avg("mean").alias("mean_of_days"), F.min("mean").alias("min_day"), F.max("mean").alias("max_day"),
         F.count("*").alias("n_days"),
     )
@@ -92,44 +105,56 @@ def monthly_table(daily: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # ---- spells ---------------------------------------------------------------
 
-def spells_stream(stream: DataFrame, key: str, order: str, level: str, threshold: float) -> DataFrame:
-    """Closed runs per key from a stream of (key, order, level) in order of arrival.
+def spells_stream(
+    stream: DataFrame, key: str, order: str, level: str, threshold: float, watermark: str = "7 days"
+) -> DataFrame:
+    """Closed runs per key from a stream of (key, order, level), in event-time order.
 
-    The state is one open run. A batch's rows of a key are sorted by ``order``; feed
-    closed days (``daily_stream``), so that a key brings one row per day.
+    Rows of the last ``watermark`` wait in the state, whatever order they arrive in; once the watermark has passed
+    a day it joins the open run. So the state of a key is one run and a bounded span of days, and the result does not
+    depend on how rows are spread over batches as long as none is later than the watermark. Feed closed days
+    (``daily_stream``), so that a key brings one row per day.
     """
     kind = stream.schema[key].dataType.simpleString()
     out = f"{key} {kind}, state int, start date, end date, length bigint"
+    held = "state int, start int, end int, length bigint, days array<int>, levels array<double>"
 
     def track(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values(order)
-        run = list(state.get) if state.exists else None
-        closed = []
-        for at, h in zip(rows[order], rows[level]):
-            wet, day = int(h > threshold), (at - EPOCH).days
-            if run and run[0] == wet:
-                run[2], run[3] = day, run[3] + 1
-                continue
-            if run:
-                closed.append(run)
-            run = [wet, day, day, 1]
-        state.update(tuple(run))
+        wet, start, end, length, days, levels = state.get if state.exists else (None, None, None, 0, [], [])
+        came = [] if state.hasTimedOut else list(batches)
+        day = np.concatenate([np.asarray(days, np.int64), *[(b[order] - EPOCH).dt.days.to_numpy(np.int64) for b in came]])
+        h = np.concatenate([np.asarray(levels, np.float64), *[b[level].to_numpy(np.float64) for b in came]])
+        passed = state.getCurrentWatermarkMs() // DAY_MS  # days before this one are complete
+        sorting = np.argsort(day, kind="stable")
+        day, h = day[sorting], h[sorting]
+        ready = int(np.searchsorted(day, passed))
+        now, flags = day[:ready], (h[:ready] > threshold).astype(np.int64)
+        if ready:
+            head = np.flatnonzero(np.r_[True, flags[1:] != flags[:-1]])
+            tail = np.r_[head[1:], ready] - 1
+            runs = list(zip(flags[head].tolist(), now[head].tolist(), now[tail].tolist(), (tail - head + 1).tolist()))
+            if length and wet == runs[0][0]:
+                runs[0] = (wet, start, runs[0][2], length + runs[0][3])
+            elif length:
+                runs.insert(0, (wet, start, end, length))
+            *closed, (wet, start, end, length) = runs
+        else:
+            closed = []
+        state.update((wet, start, end, length, day[ready:].tolist(), h[ready:].tolist()))
+        if ready < len(day):
+            state.setTimeoutTimestamp(max((int(day[ready]) + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
         if closed:
             table = pd.DataFrame(closed, columns=["state", "start", "end", "length"])
             for c in ("start", "end"):
-                table[c] = [EPOCH + pd.Timedelta(days=int(d)) for d in table[c]]
-                table[c] = pd.to_datetime(table[c]).dt.date
+                table[c] = (EPOCH + pd.to_timedelta(table[c], unit="D")).dt.date
             table.insert(0, key, name[0])
             yield table
 
-    return stream.select(key, F.col(order).cast("timestamp").alias(order), F.col(level).alias(level)).groupBy(
-        key
-    ).applyInPandasWithState(
-        track, out, "state int, start int, end int, length bigint", "append", GroupStateTimeout.NoTimeout
+    rows = stream.select(key, F.col(order).cast("timestamp").alias(order), F.col(level).cast("double").alias(level))
+    return rows.withWatermark(order, watermark).groupBy(key).applyInPandasWithState(
+        track, out, held, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 EPOCH = pd.Timestamp("1970-01-01")
+DAY_MS = 86_400_000

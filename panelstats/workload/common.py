@@ -73,17 +73,17 @@ event_days AS (
 
 
 def event_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per day of the month-long record with daily means of each event type."""
+    """One row per day with daily means of the five event types that the correlation queries compare."""
     e = table(spark, folder, "events")
     kinds = ["click", "error", "purchase", "signup", "view"]
-    return e.groupBy(F.lit(2024).alias("year"), F.to_date("ts").alias("day")).agg(
+    return e.groupBy(F.year("ts").alias("year"), F.to_date("ts").alias("day")).agg(
         *[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in kinds]
     )
 
 
 EVENT_WIDE = """
 event_wide AS (
-  SELECT 2024 AS year, CAST(ts AS DATE) AS day,
+  SELECT year(ts) AS year, CAST(ts AS DATE) AS day,
     avg(CASE WHEN event_type = 'click' THEN value END) AS click,
     avg(CASE WHEN event_type = 'error' THEN value END) AS error,
     avg(CASE WHEN event_type = 'purchase' THEN value END) AS purchase,

@@ -147,7 +147,7 @@ def run_surface_daily(spark, folder):
 
 
 def run_monthly_resample(spark, folder):
-    days = order_days(spark, folder).where("model is not null")
+    days = order_days(spark, folder)
     return shape(series.resample_month(days, ["grp"], "date", {
         "mean_model": F.avg("model"), "min_model": F.min("model"), "max_model": F.max("model"),
     }))
@@ -321,7 +321,7 @@ QUERIES = {
     "monthly_resample": Query(run_monthly_resample, shaped(f"""WITH {ORDER_DAYS},
         m AS (SELECT grp, CAST(date_trunc('month', date) AS DATE) AS month, avg(model) AS mean_model,
                      min(model) AS min_model, max(model) AS max_model
-              FROM order_days WHERE model IS NOT NULL GROUP BY 1, 2),
+              FROM order_days GROUP BY 1, 2),
         spine AS (SELECT grp, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month
                   FROM m GROUP BY 1) --final
         SELECT grp, month, mean_model, min_model, max_model FROM spine LEFT JOIN m USING (grp, month)""",

@@ -104,7 +104,7 @@ def run_value_frequency(spark, folder):
 
 def run_numeric_text_order(spark, folder):
     sizes = table(spark, folder, "part").select(F.col("p_size").cast("string").alias("size_text"))
-    return shape(quality.frequency(sizes, "size_text").limit(20))
+    return shape(quality.frequency(sizes, "size_text"))
 
 
 def run_diagnostics(spark, folder):
@@ -235,7 +235,7 @@ QUERIES = {
     "value_frequency": Query(run_value_frequency, "SELECT p_type, count(*) AS n_records FROM part GROUP BY 1"),
     "numeric_text_order": Query(run_numeric_text_order, """SELECT CAST(p_size AS VARCHAR) AS size_text,
         count(*) AS n_records, round_even(100 * count(*) / sum(count(*)) OVER (), 3) AS percent
-        FROM part GROUP BY p_size ORDER BY p_size LIMIT 20"""),
+        FROM part GROUP BY p_size"""),
     "diagnostics": Query(run_diagnostics, shaped(f"""WITH {PART_PANEL} --final
         SELECT count(*) AS n_rows, count(DISTINCT unit) AS unique_keys,
           (SELECT count(*) FROM cov WHERE n_periods = 7) AS balanced_keys, (SELECT count(*) FROM bal) AS balanced_rows,

@@ -20,13 +20,12 @@ def _events(spark, folder):
 
 def run_stream_qa(spark, folder):
     out = daily.fill_table(daily.stream_qa(_events(spark, folder), ["event_type"], "ts", "value"), "qa", "complete")
-    return shape(out.drop("approx_days"))
+    return shape(out)
 
 
 def run_stream_duplicates(spark, folder):
-    keys = _events(spark, folder).withColumn("day", F.to_date("ts"))
-    counts = daily.stream_duplicates(keys, ["event_type", "user_id", "day"])
-    return shape(daily.fill_table(counts, "duplicates", "complete").where("n_members > 1"))
+    counts = daily.stream_duplicates(_events(spark, folder), ["event_type", "user_id"], "ts")
+    return shape(daily.fill_table(counts, "duplicates"))
 
 
 def _closed_days(spark, folder):
@@ -38,14 +37,20 @@ def run_stream_daily(spark, folder):
 
 
 def run_stream_monthly(spark, folder):
-    return shape(daily.monthly_table(_closed_days(spark, folder), ["event_type"]))
+    """Two linked streams: closed days land in a table, months follow that table."""
+    days = daily.file_stream(spark, _landed_days(spark, folder), "*.parquet")
+    return shape(daily.fill_table(daily.monthly_stream(days, ["event_type"]), "months", "complete"))
 
 
-def run_stream_spells(spark, folder):
-    """Two linked streams: closed days land in a table, spells follow that table."""
+def _landed_days(spark, folder):
     path = new_folder(spark, "closed-days")
     _closed_days(spark, folder).write.parquet(path)
-    days = daily.file_stream(spark, path, "*.parquet")
+    return path
+
+
+def run_stream_spells(spark, folder):
+    """Two linked streams: closed days land in a table, spells follow that table."""
+    days = daily.file_stream(spark, _landed_days(spark, folder), "*.parquet")
     return shape(daily.fill_table(daily.spells_stream(days, "event_type", "date", "mean", LIMIT), "spells"))
 
 
@@ -60,14 +65,16 @@ QUERIES = {
         count(*) FILTER (value < 0) AS n_negative, min(value) AS min_value, max(value) AS max_value, min(ts) AS first_ts,
         max(ts) AS last_ts FROM events GROUP BY 1""", real="min_value max_value", stamps="first_ts last_ts")),
     "stream_duplicates": Query(run_stream_duplicates, shaped("""SELECT event_type, user_id, CAST(ts AS DATE) AS day,
-        count(*) AS n_members FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1""", dates="day")),
+        count(*) AS n_members FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1
+        AND CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", dates="day")),
     "stream_daily": Query(run_stream_daily, shaped(f"WITH {_DAYS} --final SELECT * FROM days", real="mean total", dates="date")),
     "stream_monthly": Query(run_stream_monthly, shaped(f"""WITH {_DAYS} --final
         SELECT event_type, CAST(date_trunc('month', date) AS DATE) AS month, avg(mean) AS mean_of_days, min(mean) AS min_day,
           max(mean) AS max_day, count(*) AS n_days FROM days GROUP BY 1, 2""",
         real="mean_of_days min_day max_day", dates="month")),
     "stream_spells": Query(run_stream_spells, shaped(f"""WITH {_DAYS},
-        w AS (SELECT event_type, date, CASE WHEN mean > {LIMIT} THEN 1 ELSE 0 END AS state FROM days),
+        w AS (SELECT event_type, date, CASE WHEN mean > {LIMIT} THEN 1 ELSE 0 END AS state FROM days
+              WHERE date < (SELECT max(date) - 7 FROM days)),
         p AS (SELECT *, lag(state) OVER (PARTITION BY event_type ORDER BY date) AS prev FROM w),
         r AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> state THEN 1 ELSE 0 END)
                         OVER (PARTITION BY event_type ORDER BY date) AS run FROM p),

@@ -67,9 +67,14 @@ def run_corr_lagged(spark, folder):
 
 
 def run_corr_calendar(spark, folder):
-    """Calendar lags on a record with gaps: days with a small click mean are absent."""
-    days = event_wide(spark, folder).where("click > 48")
-    return shape(correlation.correlate_lagged(days, ["year"], "day", TARGET, OTHERS, LAGS, mode="calendar"))
+    """Calendar lags on records with gaps: nations do not order every day."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    days = orders.join(customers, "c_custkey").groupBy("nation", "day").agg(
+        F.max("o_totalprice").alias("highest"), F.min("o_totalprice").alias("lowest"), F.count("*").alias("n_orders"))
+    return shape(correlation.correlate_lagged(
+        days, ["nation"], "day", "highest", ["lowest", "n_orders"], LAGS, mode="calendar"))
 
 
 def run_corr_diff(spark, folder):
@@ -88,7 +93,7 @@ def run_corr_long(spark, folder):
 
 def _readings(spark, folder):
     return table(spark, folder, "events").select(
-        F.lit(2024).alias("year"), F.to_date("ts").alias("date"), "value",
+        F.year("ts").alias("year"), F.to_date("ts").alias("date"), "value",
         F.concat_ws("_", "event_type", (F.col("user_id") % 4).cast("string")).alias("sensor"),
     )
 
@@ -185,10 +190,12 @@ def _wide_pairs(lag: str) -> str:
 _LAGGED = EVENT_WIDE + ", prs AS (" + " UNION ALL ".join(
     f"SELECT year, '{v}' AS variable, {k} AS lag, {TARGET} AS y, lag(\"{v}\", {k}) OVER (PARTITION BY year ORDER BY day) AS x "
     f"FROM event_wide" for v in OTHERS for k in LAGS) + ")," + _CORR_TAIL.format(by="year, variable, lag")
-_CALENDAR = EVENT_WIDE + ", kept AS (SELECT * FROM event_wide WHERE click > 48), prs AS (" + " UNION ALL ".join(
-    f"SELECT a.year, '{v}' AS variable, {k} AS lag, a.{TARGET} AS y, b.\"{v}\" AS x "
-    f"FROM kept a LEFT JOIN kept b ON b.day = a.day - {k}" for v in OTHERS for k in LAGS
-) + ")," + _CORR_TAIL.format(by="year, variable, lag")
+_CALENDAR = """days AS (SELECT c_nationkey AS nation, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS highest,
+    min(o_totalprice) AS lowest, count(*) AS n_orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+prs AS (""" + " UNION ALL ".join(
+    f"SELECT a.nation, '{v}' AS variable, {k} AS lag, a.highest AS y, CAST(b.{v} AS DOUBLE) AS x "
+    f"FROM days a LEFT JOIN days b ON b.nation = a.nation AND b.day = a.day - {k}" for v in ("lowest", "n_orders") for k in LAGS
+) + ")," + _CORR_TAIL.format(by="nation, variable, lag")
 _DIFF = EVENT_WIDE + ", prs AS (" + " UNION ALL ".join(
     f"SELECT year, '{v}' AS variable, {TARGET} - lag({TARGET}) OVER w AS y, \"{v}\" - lag(\"{v}\") OVER w AS x "
     "FROM event_wide WINDOW w AS (PARTITION BY year ORDER BY day)" for v in OTHERS
@@ -200,7 +207,7 @@ _LONG = "prs AS (" + " UNION ALL ".join(
 _CORR_REAL = "pearson_r spearman_rho"
 _SENSORS = """
 daily AS (
-  SELECT 2024 AS year, CAST(ts AS DATE) AS date, event_type || '_' || (user_id % 4) AS sensor, avg(value) AS v
+  SELECT year(ts) AS year, CAST(ts AS DATE) AS date, event_type || '_' || (user_id % 4) AS sensor, avg(value) AS v
   FROM events GROUP BY 1, 2, 3),
 mat AS (
   SELECT p.year, p.sensor AS a, q.sensor AS b, count(*) AS n, corr(p.v, q.v) AS r
@@ -235,7 +242,7 @@ QUERIES = {
     "corr_lagged": Query(run_corr_lagged, shaped(
         f"WITH {_LAGGED} --final SELECT * FROM result", real=_CORR_REAL, ints="year lag")),
     "corr_calendar_lag": Query(run_corr_calendar, shaped(
-        f"WITH {_CALENDAR} --final SELECT * FROM result", real=_CORR_REAL, ints="year lag")),
+        f"WITH {_CALENDAR} --final SELECT * FROM result", real=_CORR_REAL, ints="nation lag")),
     "corr_diff": Query(run_corr_diff, shaped(
         f"WITH {_DIFF} --final SELECT * FROM result", real=_CORR_REAL, ints="year")),
     "best_lag": Query(run_best_lag, shaped(f"""WITH {_LAGGED} --final

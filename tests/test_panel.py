@@ -56,6 +56,13 @@ def test_whole_table_reports(spark, pixels):
     d = quality.diagnostics(pixels, KEY, "year", "area", "value", 3).first()
     assert (d.n_rows, d.unique_keys, d.balanced_keys, d.balanced_rows, d.balanced_areas) == (8, 3, 2, 6, "a")
     assert quality.unstable_keys(pixels, KEY, "area").count() == 0
+    # a key is known by its identified rows; rows without key or period still lend their area
+    odd = spark.createDataFrame([("1", None, "a"), ("1", 2000, "a"), ("2", 2000, "b"), (None, 2000, "c"), ("", 2001, "d")],
+                                "k string, year int, area string").selectExpr("*", "0.5 AS value", "1 AS support")
+    q = quality.qa_summary(odd, ["k"], "year", "area", "value", "support").first()
+    assert (q.unique_keys, q.n_periods, q.duplicate_key_periods, q.areas) == (2, 1, 0, "a,b,c,d")
+    c = {r["year"]: r[1:] for r in quality.completeness(odd, ["k"], "year", "area").collect()}
+    assert c == {2000: (2, 2, "a,b,c"), 2001: (0, 0, "d")}
     u = quality.unstable_keys(more, KEY, "area").first()
     assert (u.n_categories, u.categories) == (2, "a,all")
 

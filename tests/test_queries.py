@@ -6,11 +6,13 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from panelstats.workload import all_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES = {name: q.run for name, q in all_queries().items()}
+SQL = {name: q.sql for name, q in all_queries().items() if q.sql}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
 
@@ -35,10 +37,14 @@ def clean(row):
 
 def close(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1.5e-4)
+        return math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-8)
     return a == b
 
 
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
+
+
 def test_all_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"block_bootstrap"}

@@ -13,9 +13,11 @@ def one(spark, *cols, sql="select 1 as i"):
 
 def test_parse_number(spark, rows):
     df = spark.createDataFrame(
-        [("1,234",), (" 7 ",), ("",), (None,), ("x",), ("1e3",), ("-2.5",), ("(3)",), ("+4",), ("NaN",)], "t string")
+        [("1,234",), (" 7 ",), ("",), (None,), ("x",), ("1e3",), ("-2.5",), ("(3)",), ("+4",), ("NaN",),
+         ("12 34",), ("1d",), ("5f",), (".5",), ("7.",), ("--1",), ("(-1)",), ("1e",), ("1,2,3.5",), ("9" * 400,)], "t string")
     got = [r[0] for r in df.select(S.parse_number("t")).collect()]
-    assert got == [1234.0, 7.0, None, None, None, 1000.0, -2.5, -3.0, 4.0, None]
+    assert got == [1234.0, 7.0, None, None, None, 1000.0, -2.5, -3.0, 4.0, None,
+                   None, None, None, 0.5, 7.0, None, None, None, 123.5, math.inf]
 
 
 def test_serial_date(spark):
@@ -26,6 +28,19 @@ def test_serial_date(spark):
     assert got[6][1] is None and got[0][1] == d(2019, 5, 14)
 
 
+def test_dates_as_written(spark):
+    texts = ["05/14/2019", "14-May-2019", "5/7/2019", "14 May 2019", "May 14, 2019", "2019-5-7", "05/14/2019 10:30",
+             "2019-05-14 10:30:00", "99999999999", "-1e300", "1e5", "14.5.2019", "31/31/2019", "12 34"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    d = dt.date
+    day = [r[0] for r in df.select(S.parse_serial_date("t")).collect()]
+    month = [r[0] for r in df.select(S.parse_serial_date("t", patterns=S.date_patterns(day_first=False))).collect()]
+    m14 = d(2019, 5, 14)
+    rest = [m14, m14, d(2019, 5, 7), m14, m14, None, None, d(2173, 10, 14), m14, None, None]
+    assert day == [m14, m14, d(2019, 7, 5), *rest]
+    assert month == [m14, m14, d(2019, 5, 7), *rest]
+
+
 def test_percent_forms(spark):
     df = spark.createDataFrame([(2.0, 3.0), (0.0, 3.0), (0.0, 0.0), (0.0, -1.0), (None, 1.0)], "a double, b double")
     got = [tuple(r) for r in df.select(

@@ -84,6 +84,8 @@ def test_positions_keep_variables_apart(spark, rows):
     layout = [(2019, 2, "flow"), (2019, 3, "model_a"), (2020, 2, "flow"), (2020, 4, "model_b")]
     out = cells.map_positions(g, ["year"], layout, ["flow", "model_a", "model_b"])
     assert rows(out, "year", "flow", "model_a", "model_b") == [(2019, "5", "6", None), (2020, "7", None, "8")]
+    with pytest.raises(Exception, match="no column mapping"):
+        cells.map_positions(g, ["year"], layout[:2], ["flow", "model_a", "model_b"]).collect()
 
 
 def write_workbook(path):
@@ -188,17 +190,25 @@ def test_stream_equals_batch(spark, landed, rows):
     full = batch.groupBy("k", F.to_date("ts").alias("date")).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.sum("v").alias("total"))
     closed = full.where("date + interval 1 day <= timestamp'2024-02-28 12:00:00'")
     assert rows(days) == rows(closed) and days.count() > 50
-    months = daily.monthly_table(days, ["k"])
-    assert months.count() == 4
-
-
-def test_stream_spells_equal_batch(spark, landed, rows):
+    path = new_folder(spark, "months")
+    days.repartition(3).write.parquet(path)
+    months = daily.fill_table(daily.monthly_stream(daily.file_stream(spark, path, "*.parquet", 1), ["k"]), "m", "complete")
+    want = days.groupBy("k", F.trunc("date", "MM").alias("month")).agg(F.avg("mean"), F.min("mean"), F.max("mean"), F.count("*"))
+    assert len(rows(months)) == 4
+    assert [r[:2] + tuple(round(x, 9) for x in r[2:]) for r in rows(months)] == [
+        r[:2] + tuple(round(x, 9) for x in r[2:]) for r in rows(want)]
+
+
+@pytest.mark.parametrize("files", [[0, 1, 2, 3], [3, 1, 0, 2], [2, 3, 1, 0]])
+def test_stream_spells_equal_batch(spark, landed, rows, files):
+    """Files out of order, one for each batch; a far day of another key moves the watermark past all others."""
     path = new_folder(spark, "daily")
     day = spark.read.parquet(landed).groupBy("k", F.to_date("ts").alias("date")).agg(F.avg("v").alias("h"))
-    for month in (1, 2):
-        day.where(F.month("date") == month).coalesce(1).write.mode("append").parquet(path)
+    for part in files:
+        day.where(F.floor(F.dayofyear("date") / 16) == part).coalesce(1).write.mode("append").parquet(path)
+    spark.sql("SELECT 'far' AS k, DATE'2024-06-30' AS date, 1.0D AS h").coalesce(1).write.mode("append").parquet(path)
     stream = daily.file_stream(spark, path, "*.parquet", files_per_batch=1)
-    got = daily.fill_table(daily.spells_stream(stream, "k", "date", "h", 5.0), "spells")
+    got = daily.fill_table(daily.spells_stream(stream, "k", "date", "h", 5.0, "70 days"), "spells")
     states = spells.daily_states(day, ["k"], "date", "h", 5.0)
     batch = spells.spells(states, ["k"], "date", "wet")
     last = batch.groupBy("k").agg(F.max("start").alias("open"))

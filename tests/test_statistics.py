@@ -88,22 +88,29 @@ def test_kendall_kernel_against_pairs(points):
         assert tau == pytest.approx(s / math.sqrt(nx * ny)) and 0 <= p <= 1
 
 
+def all_slopes(x, y):
+    i, j = np.triu_indices(len(x), k=1)
+    keep = x[i] != x[j]
+    return np.sort((y[j][keep] - y[i][keep]) / (x[j][keep] - x[i][keep]))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(POINT, min_size=3, max_size=25))
-def test_rank_selection_equals_listing(points):
-    """The route for long series finds the same slopes as listing all pairs."""
+def test_slopes_at_ranks(points):
     x, y = np.array(points, float).T
-    slopes = trend._slopes(x, y)
-    for k in {0, len(slopes) // 2, len(slopes) - 1} if len(slopes) else ():
-        assert trend._slope_at_rank(x, y, k) == pytest.approx(slopes[k], abs=1e-9)
-
-
-def test_long_series(monkeypatch):
-    rng = np.random.default_rng(3)
-    x, y = np.arange(400.0), rng.normal(size=400).cumsum()
-    listed = trend._theil_sen(x, y, 0.95)
-    monkeypatch.setattr(trend, "DIRECT_POINTS", 10)
-    assert trend._theil_sen(x, y, 0.95) == pytest.approx(listed, abs=1e-9)
+    want = all_slopes(x, y)
+    ranks = sorted({0, len(want) // 2, len(want) - 1}) if len(want) else []
+    assert trend._slopes_at(x, y, ranks) == [want[k] for k in ranks]
+
+
+@pytest.mark.parametrize("n, listed", [(3, 1), (60, 40), (400, 1000), (3000, 1 << 20)])
+def test_bounded_listing_gives_the_same_bits(monkeypatch, n, listed):
+    rng = np.random.default_rng(n)
+    x, y = np.arange(float(n)), np.round(rng.normal(size=n).cumsum(), 2)
+    want = all_slopes(x, y)
+    monkeypatch.setattr(trend, "LISTED", listed)
+    ranks = [0, 1, len(want) // 3, len(want) // 2, len(want) - 1]
+    assert trend._slopes_at(x, y, ranks) == [want[k] for k in ranks]
 
 
 def test_bootstrap_against_refits(spark):
