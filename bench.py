@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -27,7 +28,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
-    spark = build_session(cores, "panelstats-bench")
+    shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark = build_session(cores, "panelstats-bench", **{"spark.checkpoint.dir": shared})
     queries = all_queries()
     # start the JVM's compilers and the Python workers before the clock runs
     for warm in ("spells", "trend_table", "distribution_profile"):

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "state_queries", "quality_queries", "panel_queries", "contrast_queries", "trend_queries",
-    "evidence_queries", "source_queries", "stream_queries",
+    "evidence_queries", "source_queries", "landing_queries", "stream_queries",
 ]
 
 
