@@ -60,16 +60,17 @@ def named_series(annual: DataFrame, period: str, names: Mapping[str, str]) -> Da
     return wide.unpivot(period, list(names), "series", "value")
 
 
-SERIES = {
-    "balanced_primary": "mean_balanced",
-    "full_sample_sensitivity": "mean_full",
-    "balanced_support_ge3": "mean_balanced_support_ge3",
-    "balanced_weighted": "mean_balanced_weighted",
+SERIES = {  # series name: annual column; callers may pass their own
+    "balanced": "mean_balanced",
+    "all_units": "mean_full",
+    "well_supported": "mean_balanced_support_ge3",
+    "weighted": "mean_balanced_weighted",
 }
 
 
 def panel_tables(
-    pixels: DataFrame, areas: DataFrame, c: PanelColumns, first: int, last: int, block: int = 6, n_boot: int = 20_000
+    pixels: DataFrame, areas: DataFrame, c: PanelColumns, first: int, last: int, block: int = 6, n_boot: int = 20_000,
+    names: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """All result tables by name. The annual table is written once and read by the rest."""
     pixels, areas = prepare(pixels, areas, c, first, last)
@@ -79,7 +80,7 @@ def panel_tables(
     sub = materialise(
         panel.annual_summary(panel.balanced_panel(pixels, key, p, n), [c.area, p], c.value, c.support), "subarea")
     total, single = split_total(areas, c)
-    lines = named_series(annual, p, SERIES)
+    lines = named_series(annual, p, SERIES if names is None else names)
     whole = total.select(F.lit("area_total").alias("series"), p, F.col(c.area_value).alias("value"))
     every = lines.unionByName(whole)
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelstats.functions import scalar as S
-from panelstats.session import new_folder
+from panelstats.session import materialise, new_folder
 from panelstats.sources import catalogue, cells, files, tables
 from panelstats.workload.common import ORDER_DAYS, Query, order_days, shape, shaped, table
 
@@ -101,10 +101,11 @@ def run_header_discovery(spark, folder):
     e = table(spark, folder, "events")
     daily = e.groupBy("event_type", F.to_date("ts").alias("date"), (F.col("user_id") % 4).alias("k")).agg(
         F.max("value").alias("v"))
+    daily = materialise(daily, "daily-sensors")  # read by four parts of the grid
     serial = F.datediff("date", F.lit("1899-12-30").cast("date"))
     written = F.when(F.day("date") % 2 == 0, serial.cast("string")).otherwise(S.iso_date("date"))
     place = [F.col("event_type").alias("workbook"), F.lit("Depth").alias("sheet")]
-    row = (F.day("date") + 2).alias("row")
+    row = (F.datediff("date", F.lit("1970-01-01").cast("date")) + 3).alias("row")  # one row for each date
     dates = daily.select(*place, row, F.lit(3).alias("column"), written.alias("text")).dropDuplicates()
     values = daily.select(*place, row, (F.col("k") + 4).cast("int").alias("column"), F.col("v").cast("string").alias("text"))
     heads = daily.select(*place, F.col("k").cast("int").alias("k")).dropDuplicates()
@@ -167,7 +168,8 @@ def run_catalogue(spark, folder):
         F.col("n_name").alias("description"), F.array("s_name", "n_name").alias("authors"),
         F.array(F.lit("Supply")).alias("subjects"), F.lit("dataset").alias("type"),
     )
-    answers = s.select(F.lit("OK").alias("status"), F.struct(F.array(item).alias("items")).alias("data"))
+    answers = s.groupBy("s_nationkey").agg(F.collect_list(item).alias("items")).select(  # suppliers of a nation: one answer
+        F.lit("OK").alias("status"), F.struct("items").alias("data"))
     text = answers.select(F.to_json(F.struct("status", "data")).alias("body"))
     parsed = text.select(F.from_json("body", catalogue.CATALOGUE_SCHEMA).alias("r")).select("r.*")
     return shape(catalogue.flatten_catalogue(parsed))
