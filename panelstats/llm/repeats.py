@@ -5,7 +5,8 @@ with the smallest hash (leftmost of equals), so equal windows have equal leading
 same leading gram form a piece of at most 2 * least - 16 bytes. Hence
 
 1. documents are packed into compressed blocks;
-2. blocks send the hashes of their leading grams to buckets, which answer with those that more than one document has;
+2. blocks send the hashes of their leading grams to buckets, which answer, bit by bit, which of them more than one
+   document has;
 3. blocks send the pieces of these to buckets by hash, each distinct content of a block once. A bucket sorts all
    suffixes of its pieces (at least `least` bytes long), computes the common prefixes of neighbours, and scans them
    with a stack: each interval with a common prefix of at least `least` bytes is a repeat with all its occurrences.
@@ -28,9 +29,11 @@ from panelstats.llm.common import LOWEST, whole_text
 from panelstats.session import materialise
 
 GRAM = 16
-BLOCK_BYTES = 2 << 20  # a longer document is a block of its own
-KEY_BUCKET_BYTES = 64 << 20  # text per bucket of hashes
+BLOCK_BYTES = 1 << 20  # a longer document is a block of its own
+KEY_BUCKET_BYTES = 16 << 20  # text per bucket of hashes
 PIECE_BUCKET_BYTES = 8 << 20  # text per bucket of pieces
+SLICE = 8_000  # pieces whose suffixes are sorted together, more only where one leading gram has more
+_SENT = np.uint64((1 << 64) - (1 << 16))  # the part of a hash that is sent: its upper 48 bits
 _STEP = (1 << 20) - 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,15 +66,41 @@ def pieces_of(raw: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarra
         head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (np.diff(window) != 1)])
         tail = np.r_[head[1:], len(window)] - 1
         start = window[head] + a
-        out.append((start, window[tail] - window[head] + least, h[at[head]], of[start]))
+        chosen = h[at[head]] * _M2  # the smallest hashes lie close together: mixed again, they spread evenly
+        chosen ^= chosen >> np.uint64(32)
+        out.append((start, window[tail] - window[head] + least, chosen * _M1, of[start]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _matrix(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Pieces as rows, with zeros behind their end."""
-    shift = np.arange(width)
-    inside = shift < length[:, None]
-    return np.where(inside, raw[np.minimum(start[:, None] + shift, len(raw) - 1)], 0).astype(np.uint8)
+    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+    rows[np.arange(width) >= length[:, None]] = 0
+    return rows
+
+
+def _buckets_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in the order of the keys."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1], True])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _unpacked(parts: Sequence[bytes], kind) -> np.ndarray:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(unpack.decompress(p) for p in parts), kind)
 
 
 def _same(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -93,10 +122,15 @@ def _same(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Block:
     """The shared pieces of a block: where they are, and which occurrence of each content speaks for the others."""
 
-    def __init__(self, raw: bytes, ids: np.ndarray, sizes: np.ndarray, shared: np.ndarray, least: int) -> None:
+    def __init__(self, raw: bytes, ids: np.ndarray, sizes: np.ndarray, answers, buckets: int, least: int) -> None:
         data = np.frombuffer(raw, np.uint8)
         start, length, key, doc = pieces_of(data, sizes, least)
-        known = np.isin(key, shared)
+        sent, place = np.unique(key & _SENT, return_inverse=True)
+        bucket, shared = _buckets_of(sent, buckets), np.zeros(len(sent), bool)
+        for a in answers:
+            lo, hi = np.searchsorted(bucket, [a["bucket"], a["bucket"] + 1])
+            shared[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo)
+        known = shared[place]
         self.start, self.length, self.key, doc = start[known], length[known], key[known], doc[known]
         self.doc = ids[doc]
         self.rows = _matrix(data, self.start, self.length, 2 * least - GRAM) if len(self.start) else np.zeros((0, 1), np.uint8)
@@ -223,7 +257,7 @@ def _opened(ids: bytes, sizes: bytes, data: bytes) -> tuple[bytes, np.ndarray, n
 
 
 def _shared_keys(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
-    """block, keys: hashes of leading grams of the block that more than one document has (packed 64-bit integers)."""
+    """block, answers: for each bucket, which of the hashes that the block sent there more than one document has."""
     def send(frames):
         import pandas as pd
 
@@ -233,78 +267,86 @@ def _shared_keys(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
                 _, _, key, doc = pieces_of(np.frombuffer(raw, np.uint8), sizes, least)
                 if not len(key):
                     continue
+                key &= _SENT
                 order = np.argsort(key, kind="stable")
                 key, doc = key[order], ids[doc[order]]
-                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                head = _edges(key)[:-1]
                 many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
                 key = key[head]
-                # the upper half of the product spreads sorted keys evenly over the buckets, in order
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                bucket = _buckets_of(key, buckets)
+                edge = _edges(bucket)
+                six = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 yield pd.DataFrame({
-                    "bucket": bucket[edge[:-1]].astype(np.int64), "block": block,
-                    "keys": [key[a:b].tobytes() for a, b in zip(edge, edge[1:])],
+                    "bucket": bucket[edge[:-1]], "block": block,
+                    "keys": [six[a:b].tobytes() for a, b in zip(edge, edge[1:])],
                     "many": [np.packbits(many[a:b]).tobytes() for a, b in zip(edge, edge[1:])],
                 })
 
-    def answer(frame):
+    def answer(key, frame):
         import pandas as pd
 
-        keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
-        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for k, m in zip(keys, frame["many"])]
-        flat = np.sort(np.concatenate(keys))
-        twice = np.unique(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *[k[m] for k, m in zip(keys, many)]]))
-        found = [k[np.isin(k, twice, assume_unique=True)] for k in keys]
-        out = pd.DataFrame({"block": frame["block"], "keys": [f.tobytes() for f in found]})
-        return out[[len(f) > 0 for f in found]]
+        sizes = np.array([len(k) // 6 for k in frame["keys"]])
+        eight = np.zeros((int(sizes.sum()), 8), np.uint8)
+        eight[:, :6] = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, 6)
+        keys = eight.view(">u8").ravel().astype(np.uint64)
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(frame["many"], sizes)])
+        order = np.argsort(keys, kind="stable")
+        edge = _edges(keys[order])
+        size = np.diff(edge)
+        shared = np.zeros(len(keys), bool)  # by two blocks, or by two documents of one
+        shared[order] = np.repeat((size > 1) | (np.add.reduceat(many[order].astype(np.int64), edge[:-1]) > 0), size)
+        parts = np.split(shared, np.cumsum(sizes)[:-1])
+        out = pd.DataFrame({"block": frame["block"], "bucket": int(key[0]), "bits": [np.packbits(p).tobytes() for p in parts]})
+        return out[[bool(p.any()) for p in parts]]
 
     sent = blocks.mapInPandas(send, "bucket long, block long, keys binary, many binary")
-    back = sent.groupBy("bucket").applyInPandas(answer, "block long, keys binary")
-    return materialise(back.groupBy("block").agg(F.collect_list("keys").alias("keys")), "shared-keys")
+    back = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary")
+    return materialise(back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "shared-keys")
 
 
-def _keys(parts: Sequence[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts) if parts is not None else b"", np.uint64)
-
-
-def _sent_pieces(blocks: DataFrame, shared: DataFrame, least: int, buckets: int, every: bool) -> DataFrame:
-    """bucket, block, rows, length, key, doc, start of the shared pieces; one for each content unless `every`."""
+def _sent_pieces(blocks: DataFrame, shared: DataFrame, least: int, key_buckets: int, buckets: int, every: bool) -> DataFrame:
+    """Per bucket and block the shared pieces, packed; one for each content of the block unless `every`."""
     def send(frames):
         import pandas as pd
 
         for frame in frames:
-            for block, ids, sizes, data, keys in zip(frame["block"], frame["ids"], frame["sizes"], frame["data"], frame["keys"]):
-                part = Block(*_opened(ids, sizes, data), _keys(keys), least)
+            for block, ids, sizes, data, answers in zip(*(frame[c] for c in ("block", "ids", "sizes", "data", "answers"))):
+                if answers is None:
+                    continue
+                part = Block(*_opened(ids, sizes, data), answers, key_buckets, least)
                 chosen = np.arange(len(part.start)) if every else part.speakers
                 if not len(chosen):
                     continue
-                bucket = ((part.key[chosen] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                bucket = _buckets_of(part.key[chosen], buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket, chosen = bucket[order], chosen[order]
-                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                edge = _edges(bucket)
                 take = [chosen[a:b] for a, b in zip(edge, edge[1:])]
                 width = np.arange(part.rows.shape[1])
                 yield pd.DataFrame({
-                    "bucket": bucket[edge[:-1]].astype(np.int64), "block": block,
-                    "content": [part.rows[t][width < part.length[t][:, None]].tobytes() for t in take],
+                    "bucket": bucket[edge[:-1]], "block": block,
+                    "content": [_packed(part.rows[t][width < part.length[t][:, None]]) for t in take],
                     "length": [part.length[t].astype(np.uint8).tobytes() for t in take],
-                    "key": [part.key[t].tobytes() for t in take], "doc": [part.doc[t].tobytes() for t in take],
-                    "start": [part.start[t].tobytes() for t in take],
+                    "key": [(part.key[t] >> np.uint64(16)).astype("<u4").tobytes() for t in take],
+                    "doc": [_packed(part.doc[t]) for t in take],
+                    "start": [_packed(part.start[t].astype("<u4")) for t in take],
                 })
 
     schema = "bucket long, block long, content binary, length binary, key binary, doc binary, start binary"
-    return blocks.join(shared, "block").select("block", "ids", "sizes", "data", "keys").mapInPandas(send, schema)
+    # the outer join is the one of the last step, which can so read the same shuffled blocks
+    both = blocks.join(shared.hint("merge"), "block", "left").select("block", "ids", "sizes", "data", "answers")
+    return both.mapInPandas(send, schema)
 
 
 def _met_pieces(frame, least: int):
     """The pieces of a bucket, sorted by key: rows, length, key, doc, start, block."""
-    join = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
-    length, key = join("length", np.uint8).astype(np.int64), join("key", np.uint64)
-    doc, start = join("doc", np.int64), join("start", np.int64)
+    length = np.frombuffer(b"".join(frame["length"]), np.uint8).astype(np.int64)
+    key = np.frombuffer(b"".join(frame["key"]), "<u4")  # enough to keep equal leading grams together
+    doc, start = _unpacked(frame["doc"], np.int64), _unpacked(frame["start"], "<u4").astype(np.int64)
     block = np.repeat(frame["block"].to_numpy(np.int64), [len(x) for x in frame["length"]])
     width = 2 * least - GRAM
     rows = np.zeros((len(length), width), np.uint8)
-    rows[np.arange(width) < length[:, None]] = join("content", np.uint8)
+    rows[np.arange(width) < length[:, None]] = _unpacked(frame["content"], np.uint8)
     order = np.lexsort((start, block, key))
     return rows[order], length[order], key[order], doc[order], start[order], block[order]
 
@@ -313,13 +355,13 @@ def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOWEST)).alias("doc_id"), whole_text(text_col).alias("text"))
 
 
-def _prepared(docs: DataFrame, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+def _prepared(docs: DataFrame, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int, int]:
     if not GRAM <= least <= 120:
         raise ValueError(f"a repeat is between {GRAM} and 120 bytes at least")
     blocks = _blocks(docs, block_bytes)
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    shared = _shared_keys(blocks, least, max(1, math.ceil(total / KEY_BUCKET_BYTES)))
-    return blocks, shared, max(1, math.ceil(total / PIECE_BUCKET_BYTES))
+    key_buckets = max(1, math.ceil(total / KEY_BUCKET_BYTES))
+    return blocks, _shared_keys(blocks, least, key_buckets), key_buckets, max(1, math.ceil(total / PIECE_BUCKET_BYTES))
 
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50,
@@ -330,14 +372,14 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     through pieces: a longer repeat appears as overlapping groups of at most 2 * least - 16 bytes, which together
     cover it. Missing texts are empty; a missing doc_id is an id below all others; repeated rows are one document.
     """
-    blocks, shared, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes)
+    blocks, shared, key_buckets, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes)
 
     def scan(key, frame):
         import pandas as pd
 
         rows, length, grams, doc, start, block = _met_pieces(frame, least)
         out, number = [], 0
-        for cut in _slices(grams, 20_000):
+        for cut in _slices(grams, SLICE):
             _, nodes = suffix_intervals(rows[cut], length[cut], doc[cut], least, all_nodes=True)
             for depth, piece, offset in nodes:
                 at = piece + cut.start
@@ -347,7 +389,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         names = ["group_id", "length", "doc_id", "block", "start"]
         return pd.concat(out)[names] if out else pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
 
-    found = _sent_pieces(blocks, shared, least, buckets, True).groupBy("bucket").applyInPandas(
+    found = _sent_pieces(blocks, shared, least, key_buckets, buckets, True).groupBy("bucket").applyInPandas(
         scan, "group_id long, length long, doc_id long, block long, start long")
 
     def places(frames):
@@ -371,14 +413,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input. A missing text is empty; a missing doc_id is below all others; rows that share an id never
     count against each other and each give a row.
     """
-    blocks, shared, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes)
+    blocks, shared, key_buckets, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes)
 
     def scan(frame):
         import pandas as pd
 
         rows, length, grams, doc, start, block = _met_pieces(frame, least)
         found = [(np.zeros(0, np.int64),) * 4]
-        for cut in _slices(grams, 20_000):
+        for cut in _slices(grams, SLICE):
             (piece, offset, size), _ = suffix_intervals(rows[cut], length[cut], doc[cut], least)
             at = piece + cut.start
             found.append((block[at], start[at], offset, size))
@@ -391,7 +433,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                              "offset": [offset[a:b].astype(np.uint8).tobytes() for a, b in parts],
                              "covered": [size[a:b].astype(np.uint8).tobytes() for a, b in parts]})
 
-    met = _sent_pieces(blocks, shared, least, buckets, False).groupBy("bucket").applyInPandas(
+    met = _sent_pieces(blocks, shared, least, key_buckets, buckets, False).groupBy("bucket").applyInPandas(
         scan, "block long, first binary, offset binary, covered binary")
     stretches = met.groupBy("block").agg(F.collect_list(F.struct("first", "offset", "covered")).alias("stretches"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -403,11 +445,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pandas as pd
 
         for frame in frames:
-            for block, ids, sizes, data, keys, found in zip(*(frame[c] for c in ("block", "ids", "sizes", "data", "keys", "stretches"))):
+            for block, ids, sizes, data, answers, found in zip(*(frame[c] for c in ("block", "ids", "sizes", "data", "answers", "stretches"))):
                 raw, ids, sizes = _opened(ids, sizes, data)
                 delta = np.zeros(len(raw) + 1, np.int64)
-                if keys is not None:
-                    part = Block(raw, ids, sizes, _keys(keys), least)
+                if answers is not None:
+                    part = Block(raw, ids, sizes, answers, key_buckets, least)
                     np.add.at(delta, part.start[part.later], 1)
                     np.add.at(delta, (part.start + part.length)[part.later], -1)
                     if found is not None and len(found):
@@ -427,8 +469,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.cumsum(delta[:-1]) > 0
                 yield _documents(raw, ids, sizes, gone, keep_text, pd, hashlib)
 
-    both = blocks.join(shared, "block", "left").join(stretches, "block", "left")
-    done = both.select("block", "ids", "sizes", "data", "keys", "stretches").mapInPandas(cut, schema)
+    both = blocks.join(shared.hint("merge"), "block", "left").join(stretches.hint("merge"), "block", "left")
+    done = both.select("block", "ids", "sizes", "data", "answers", "stretches").mapInPandas(cut, schema)
     if keep_text:
         done = done.withColumn("row_key", F.xxhash64(F.col("whole").cast("string"))).drop("whole")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")))
