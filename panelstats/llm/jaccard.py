@@ -147,8 +147,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append((root, blocks, unit, copies, sketch(found).tobytes(), found.tobytes()))
             yield pd.DataFrame(out, columns=["root", "blocks", "unit", "copies", "signature", "shingles"])
 
-    sketched = data.join(chosen, "doc_id").select("root", "blocks", "unit", "copies", "text").mapInPandas(
+    sketched = data.join(chosen.hint("merge"), "doc_id").select("root", "blocks", "unit", "copies", "text").mapInPandas(
         sketches, "root long, blocks long, unit long, copies long, signature binary, shingles binary")
+    # (the join above is by sorted shuffles at every size: a broadcast of the candidates would depend on their number)
     # a unit of block b meets block c in the group (min, max); alone in the cluster's only block it goes there once
     mine = F.pmod(F.xxhash64("unit"), F.col("blocks"))
     dealt = (
