@@ -5,7 +5,8 @@ values meet already on the map side and a hot group spreads over its values.
 A value's magnitude bucket (octave plus leading fraction bits) is monotone in
 the value, so ranks resolve in two short steps: a running count over the
 occupied buckets of a group, then a running count inside just the few buckets
-that hold a wanted rank. No task ever sees a whole group.
+that hold a wanted rank. A bucket spans 1/4096 of an octave: values that all lie within
+one, such as clock readings of a few days, still meet in one task.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ def test_panel_study(spark, study, rows):
     assert [r.n_balanced for r in annual] == [8] * 6 and [r.n_full for r in annual] == [9, 9, 9, 8, 9, 9]
     trends = {r.series: r for r in out["series_trends"].collect()}
     assert set(trends) == {*panel_trend.SERIES, "area_total"}
-    assert trends["balanced_primary"].kendall_tau == pytest.approx(-1) and -0.11 < trends["balanced_primary"].ols_slope < -0.09
+    assert trends["balanced"].kendall_tau == pytest.approx(-1) and -0.11 < trends["balanced"].ols_slope < -0.09
     assert out["robustness"].count() == 15
     assert rows(out["coverage"]) == [(5, 1), (6, 8)]
     assert {r[0] for r in rows(out["subarea_trends"], "subdistrict")} == {"A", "B"}

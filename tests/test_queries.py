@@ -35,9 +35,13 @@ def clean(row):
     return tuple(out)
 
 
-def close(a, b):
+# results are rounded to six digits, those of these queries to four: one unit of the last digit is allowed
+COARSE = {"balance", "reproduction_error"}
+
+
+def close(a, b, name):
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-8)
+        return math.isclose(a, b, rel_tol=1e-6, abs_tol=1.1e-4 if name in COARSE else 1.1e-6)
     return a == b
 
 
@@ -63,7 +67,7 @@ def test_query(spark, duck, name):
     assert sorted(cols) == order
     want = sorted((clean(r[cols.index(c)] for c in order) for r in cursor.fetchall()), key=repr)
     assert len(got) == len(want)
-    assert all(close(x, y) for g, w in zip(got, want) for x, y in zip(g, w)) or got == want
+    assert all(close(x, y, name) for g, w in zip(got, want) for x, y in zip(g, w)) or got == want
 
 
 def test_entry(spark):
