@@ -211,4 +211,6 @@ def correlation_summary(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
         F.col("min").alias("min_r"), F.col("max").alias("max_r"),
     )
     # without groups both sides are a single row
-    return n.join(r, list(by), "left") if by else n.join(F.broadcast(r))
+    if by:
+        return n.join(r, list(by), "left")
+    return n.withColumn("_one", F.lit(1)).join(r.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")

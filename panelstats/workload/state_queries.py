@@ -24,7 +24,7 @@ def run_spells(spark, folder):
 def run_spells_chunked(spark, folder):
     e = table(spark, folder, "events").select("event_type", "ts", "value")
     marked = e.withColumn("wet", (F.col("value") > LIMIT).cast("int"))
-    out = spells.spells_chunked(marked, ["event_type"], "ts", "wet", F.date_trunc("day", "ts"))
+    out = spells.spells_chunked(marked, ["event_type"], "ts", "wet", F.date_trunc("minute", "ts"))
     return shape(out)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelstats.operators import bootstrap, correlation, trend
+from panelstats.session import materialise
 from panelstats.workload.common import (
     BRAND_MONTHS, EVENT_WIDE, Query, brand_months, event_wide, shape, shaped, table,
 )
@@ -114,7 +115,8 @@ def run_corr_matrix_tiled(spark, folder):
 
 
 def run_corr_summary(spark, folder):
-    return shape(correlation.correlation_summary(_matrix(spark, folder), ["year"]))
+    """The matrix is stored once; the summary reads it twice."""
+    return shape(correlation.correlation_summary(materialise(_matrix(spark, folder), "matrix"), ["year"]))
 
 
 # Student t with even degrees of freedom as a finite sum, normal tail as a series
