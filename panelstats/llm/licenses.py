@@ -51,16 +51,17 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))
 
 
-def _phrase_places(words: Column, n: Column, phrases: Sequence[str]) -> Column:
+def _phrase_places(words: Column, phrases: Sequence[str]) -> Column:
     """For each phrase the array of word numbers at which it starts."""
-    def starts(phrase: str) -> Column:
+    def starts(w: Column, phrase: str) -> Column:
         parts = phrase.split(" ")
         whole = F.array(*[F.lit(p) for p in parts])
-        last = n - len(parts)
-        return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: (F.get(words, i) == parts[0])
-                                          & (F.slice(words, i + 1, len(parts)) == whole))
+        last = F.size(w) - len(parts)
+        return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: (F.get(w, i) == parts[0])
+                                          & (F.slice(w, i + 1, len(parts)) == whole))
                       ).otherwise(F.array().cast("array<int>"))
-    return F.array(*[starts(p) for p in phrases])
+    # the outer lambda binds the words, which are else made anew for every place looked at
+    return F.get(F.transform(F.array(words), lambda w: F.array(*[starts(w, p) for p in phrases])), F.lit(0))
 
 
 def _phrase_pattern(phrases: Sequence[str]) -> str:
@@ -131,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     data = data.withColumn("text_key", F.xxhash64("text"))
     names = list(phrases)
     n = F.regexp_count("text", F.lit(WORD))
-    places = F.when(F.col("text").rlike(_phrase_pattern(names)), _phrase_places(words_of(F.col("text")), n, names))
+    places = F.when(F.col("text").rlike(_phrase_pattern(names)), _phrase_places(words_of(F.col("text")), names))
     base = data.select("doc_id", "text_key", n.cast("long").alias("n_words"), places.alias("places"))
     matches = template_matches(data, templates, threshold)
     found = matches.groupBy("doc_id", "text_key").agg(
