@@ -40,17 +40,21 @@ def trigrams(text: str) -> np.ndarray:
     return (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(17)
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 4000,
-        least_share: float = 0.005) -> dict:
-    """Trigram models from at most `sample_rows` labelled rows, those with the smallest hash of their id.
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 4000) -> dict:
+    """Trigram models of all labelled languages, each from about `sample_rows` of its rows, or all where it has fewer.
 
-    Languages with less than `least_share` of the sample are left out. Rows without label or id are not used. What
-    comes to the driver is one count per language and bucket.
+    A language's rows are drawn by a hash of id and text, at least one of each; repeated rows count once. Rows without
+    label or id, or labelled as of no known language, are not used. What comes to the driver is one count per language,
+    and per language and bucket.
     """
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                            whole_text(text_col).alias("text"))
-    chosen = rows.where("id is not null and lang is not null").select("id", "lang", F.xxhash64("id").alias("h"))
-    chosen = chosen.orderBy("h", "id").limit(sample_rows).select("id").distinct()
+    rows = rows.where((F.col("id").isNotNull()) & (F.col("lang") != UNKNOWN)).withColumn("h", F.xxhash64("id", "text"))
+    sizes = rows.groupBy("lang", "h").agg(F.count("*").alias("rows")).groupBy("lang").agg(
+        F.count("*").alias("rows"), F.min("h").alias("lowest")).collect()  # one row per language
+    ends = {r["lang"]: max(r["lowest"], min((1 << 63) - 1, (sample_rows << 64) // r["rows"] - (1 << 63))) for r in sizes}
+    end = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])[F.col("lang")] if ends else F.lit(None)
+    chosen = rows.where(F.col("h") <= end).dropDuplicates(["lang", "h"])
 
     def count(frames):
         import pandas as pd
@@ -61,16 +65,14 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_r
                 for text in group["text"]:
                     total += np.bincount(trigrams(text), minlength=BUCKETS)
                 seen = np.flatnonzero(total)
-                yield pd.DataFrame({"lang": lang, "bucket": seen, "n": total[seen], "texts": 0})
-                yield pd.DataFrame({"lang": [lang], "bucket": [-1], "n": [0], "texts": [len(group)]})
+                yield pd.DataFrame({"lang": lang, "bucket": seen, "n": total[seen]})
 
-    counted = rows.join(chosen, "id").select("lang", "text").mapInPandas(count, "lang string, bucket long, n long, texts long")
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
-    texts = table[table["bucket"] < 0].set_index("lang")["texts"]
-    langs = sorted(lang for lang, n in texts.items() if n >= least_share * texts.sum())
+    counted = chosen.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long")
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(ends)
     logs = np.full((BUCKETS, len(langs) + 1), -math.log(BUCKETS))
     for k, lang in enumerate(langs):
-        part = table[(table["lang"] == lang) & (table["bucket"] >= 0)]
+        part = table[table["lang"] == lang]
         n = np.full(BUCKETS, 0.05)
         n[part["bucket"].to_numpy(np.int64)] += part["n"].to_numpy(np.float64)
         logs[:, k] = np.log(n / n.sum())

@@ -95,6 +95,20 @@ def test_held_out_accuracy(spark, model):
     assert sum(r["lang"] == truth[r["id"]] for r in found) >= 0.95 * len(rows)
 
 
+def test_rare_languages_have_a_model(spark):
+    rng = random.Random(5)
+    rows = [(k, sentences(rng, "en" if k % 2 else "fr", 12), "en" if k % 2 else "fr") for k in range(1996)]
+    rows += [(5000 + k, sentences(rng, "de", 12), "de") for k in range(4)]  # 0.2 %
+    rows += [(7, "zum beispiel", "xx")] * 50  # one text, repeated
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (100, 4000):
+        model = langid.fit(table, "doc_id", "text", "lang", sample_rows=size)
+        assert model["langs"] == ["de", "en", "fr", "xx", langid.UNKNOWN]
+        docs = spark.createDataFrame([(k, sentences(rng, "de", 30)) for k in range(20)], "doc_id long, text string")
+        found = langid.identify(docs, model, "doc_id", "text").collect()
+        assert all(r["lang"] == "de" and r["accepted"] for r in found)
+
+
 def test_no_pages(spark, model, no_docs):
     assert langid.identify(no_docs, model, "doc_id", "text", host_col="source").count() == 0
 
