@@ -6,8 +6,10 @@ same leading gram form a piece of at most 2 * least - 16 bytes. Hence
 
 1. documents are packed into compressed blocks;
 2. blocks send the hashes of their leading grams to buckets, which answer, bit by bit, which of them more than one
-   document has;
-3. blocks send the pieces of these to buckets by hash, each distinct content of a block once. A bucket sorts all
+   document has, and which lead more than a set number of distinct pieces;
+3. blocks send the pieces of these to buckets by hash, each distinct content of a block once. A frequent gram would
+   bring all its surroundings to one bucket: its pieces are sent as single windows of `least` bytes, each to the bucket
+   of its whole content, where equal windows still meet. A bucket sorts all
    suffixes of its pieces (at least `least` bytes long), computes the common prefixes of neighbours, and scans them
    with a stack: each interval with a common prefix of at least `least` bytes is a repeat with all its occurrences.
    Intervals whose members all have the same byte on the left are part of a longer repeat and are passed over;
@@ -32,7 +34,8 @@ GRAM = 16
 BLOCK_BYTES = 1 << 20  # a longer document is a block of its own
 KEY_BUCKET_BYTES = 16 << 20  # text per bucket of hashes
 PIECE_BUCKET_BYTES = 8 << 20  # text per bucket of pieces
-SLICE = 8_000  # pieces whose suffixes are sorted together, more only where one leading gram has more
+SLICE = 8_000  # pieces whose suffixes are sorted together, more only where one leading gram or window has more
+HOT = 8_000  # distinct pieces with one leading gram, above which its windows are dealt singly
 _SENT = np.uint64((1 << 64) - (1 << 16))  # the part of a hash that is sent: its upper 48 bits
 _STEP = (1 << 20) - 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,6 +75,18 @@ def pieces_of(raw: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _content_hash(raw: np.ndarray, start: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
+    """A hash of each stretch of at least `least` and at most 2 * least - 16 bytes, by its words from both ends."""
+    words = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,)) if len(start) else np.zeros(0, np.uint64)
+    h, last = length.astype(np.uint64), start + length - 8
+    for step in range(0, least - 7, 8):
+        for at in (start + step, last - step):
+            h = (h ^ words[at]) * _M1
+            h ^= h >> np.uint64(32)
+    h *= _M2
+    return (h ^ h >> np.uint64(29)) * _M1
+
+
 def _matrix(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Pieces as rows, with zeros behind their end."""
     padded = np.concatenate([raw, np.zeros(width, np.uint8)])
@@ -126,13 +141,22 @@ class Block:
         data = np.frombuffer(raw, np.uint8)
         start, length, key, doc = pieces_of(data, sizes, least)
         sent, place = np.unique(key & _SENT, return_inverse=True)
-        bucket, shared = _buckets_of(sent, buckets), np.zeros(len(sent), bool)
+        bucket, shared, hot = _buckets_of(sent, buckets), np.zeros(len(sent), bool), np.zeros(len(sent), bool)
         for a in answers:
             lo, hi = np.searchsorted(bucket, [a["bucket"], a["bucket"] + 1])
             shared[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo)
-        known = shared[place]
-        self.start, self.length, self.key, doc = start[known], length[known], key[known], doc[known]
-        self.doc = ids[doc]
+            if len(a["hot"]):
+                hot[lo:hi] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=hi - lo)
+        known, apart = (shared & ~hot)[place], np.flatnonzero(hot[place])
+        self.start, self.length, self.key, of = start[known], length[known], key[known], doc[known]
+        if len(apart):
+            n = length[apart] - least + 1
+            window = np.repeat(start[apart] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            size = np.full(len(window), least)
+            self.start, self.length = np.r_[self.start, window], np.r_[self.length, size]
+            self.key = np.r_[self.key, _content_hash(data, window, size, least)]
+            of = np.r_[of, np.repeat(doc[apart], n)]
+        self.doc = ids[of]
         self.rows = _matrix(data, self.start, self.length, 2 * least - GRAM) if len(self.start) else np.zeros((0, 1), np.uint8)
         group = _same(self.rows, self.length)
         smallest = np.full(len(group), np.iinfo(np.int64).max)
@@ -256,52 +280,64 @@ def _opened(ids: bytes, sizes: bytes, data: bytes) -> tuple[bytes, np.ndarray, n
     return raw, np.frombuffer(ids, "<i8"), sizes
 
 
-def _shared_keys(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
-    """block, answers: for each bucket, which of the hashes that the block sent there more than one document has."""
+def _shared_keys(blocks: DataFrame, least: int, buckets: int, most: int) -> DataFrame:
+    """block, answers: for each bucket, which of the hashes that the block sent there more than one document has.
+
+    hot: which of these lead more than `most` distinct pieces, as told by 16 bits of their content; empty if none.
+    """
     def send(frames):
         import pandas as pd
 
         for frame in frames:
             for block, ids, sizes, data in zip(frame["block"], frame["ids"], frame["sizes"], frame["data"]):
                 raw, ids, sizes = _opened(ids, sizes, data)
-                _, _, key, doc = pieces_of(np.frombuffer(raw, np.uint8), sizes, least)
+                data = np.frombuffer(raw, np.uint8)
+                start, length, key, doc = pieces_of(data, sizes, least)
                 if not len(key):
                     continue
-                key &= _SENT
+                # the key, and in its unused bits some of the content
+                key = (key & _SENT) | (_content_hash(data, start, length, least) & ~_SENT)
                 order = np.argsort(key, kind="stable")
                 key, doc = key[order], ids[doc[order]]
-                head = _edges(key)[:-1]
+                head = _edges(key & _SENT)[:-1]
                 many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-                key = key[head]
-                bucket = _buckets_of(key, buckets)
+                bucket = _buckets_of(key[head], buckets)
                 edge = _edges(bucket)
-                six = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                key = key[_edges(key)[:-1]]
+                cut = _edges(_buckets_of(key, buckets))
                 yield pd.DataFrame({
                     "bucket": bucket[edge[:-1]], "block": block,
-                    "keys": [six[a:b].tobytes() for a, b in zip(edge, edge[1:])],
+                    "keys": [key[a:b].astype(">u8").tobytes() for a, b in zip(cut, cut[1:])],
                     "many": [np.packbits(many[a:b]).tobytes() for a, b in zip(edge, edge[1:])],
                 })
 
     def answer(key, frame):
         import pandas as pd
 
-        sizes = np.array([len(k) // 6 for k in frame["keys"]])
-        eight = np.zeros((int(sizes.sum()), 8), np.uint8)
-        eight[:, :6] = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, 6)
-        keys = eight.view(">u8").ravel().astype(np.uint64)
+        values = np.frombuffer(b"".join(frame["keys"]), ">u8").astype(np.uint64)
+        part = np.repeat(np.arange(len(frame)), [len(k) // 8 for k in frame["keys"]])
+        keys = values & _SENT
+        head = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
+        keys, sizes = keys[head], np.bincount(part[head], minlength=len(frame))
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(frame["many"], sizes)])
         order = np.argsort(keys, kind="stable")
         edge = _edges(keys[order])
         size = np.diff(edge)
         shared = np.zeros(len(keys), bool)  # by two blocks, or by two documents of one
         shared[order] = np.repeat((size > 1) | (np.add.reduceat(many[order].astype(np.int64), edge[:-1]) > 0), size)
-        parts = np.split(shared, np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"block": frame["block"], "bucket": int(key[0]), "bits": [np.packbits(p).tobytes() for p in parts]})
+        values.sort()
+        values = values[_edges(values)[:-1]] & _SENT
+        runs = _edges(values)
+        hot = shared & np.isin(keys, values[runs[:-1]][np.diff(runs) > most])
+        cuts = np.cumsum(sizes)[:-1]
+        parts, hots = np.split(shared, cuts), np.split(hot, cuts)
+        out = pd.DataFrame({"block": frame["block"], "bucket": int(key[0]), "bits": [np.packbits(p).tobytes() for p in parts],
+                            "hot": [np.packbits(p).tobytes() if p.any() else b"" for p in hots]})
         return out[[bool(p.any()) for p in parts]]
 
     sent = blocks.mapInPandas(send, "bucket long, block long, keys binary, many binary")
-    back = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary")
-    return materialise(back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "shared-keys")
+    back = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary, hot binary")
+    return materialise(back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("answers")), "shared-keys")
 
 
 def _sent_pieces(blocks: DataFrame, shared: DataFrame, least: int, key_buckets: int, buckets: int, every: bool) -> DataFrame:
@@ -341,7 +377,7 @@ def _sent_pieces(blocks: DataFrame, shared: DataFrame, least: int, key_buckets:
 def _met_pieces(frame, least: int):
     """The pieces of a bucket, sorted by key: rows, length, key, doc, start, block."""
     length = np.frombuffer(b"".join(frame["length"]), np.uint8).astype(np.int64)
-    key = np.frombuffer(b"".join(frame["key"]), "<u4")  # enough to keep equal leading grams together
+    key = np.frombuffer(b"".join(frame["key"]), "<u4")  # enough to keep equal leading grams, or equal windows, together
     doc, start = _unpacked(frame["doc"], np.int64), _unpacked(frame["start"], "<u4").astype(np.int64)
     block = np.repeat(frame["block"].to_numpy(np.int64), [len(x) for x in frame["length"]])
     width = 2 * least - GRAM
@@ -355,24 +391,24 @@ def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOWEST)).alias("doc_id"), whole_text(text_col).alias("text"))
 
 
-def _prepared(docs: DataFrame, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame, int, int]:
+def _prepared(docs: DataFrame, least: int, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame, int, int]:
     if not GRAM <= least <= 120:
         raise ValueError(f"a repeat is between {GRAM} and 120 bytes at least")
     blocks = _blocks(docs, block_bytes)
     total = blocks.agg(F.sum("size")).first()[0] or 0
     key_buckets = max(1, math.ceil(total / KEY_BUCKET_BYTES))
-    return blocks, _shared_keys(blocks, least, key_buckets), key_buckets, max(1, math.ceil(total / PIECE_BUCKET_BYTES))
+    return blocks, _shared_keys(blocks, least, key_buckets, hot), key_buckets, max(1, math.ceil(total / PIECE_BUCKET_BYTES))
 
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Repeats with all occurrences: group_id, length, doc_id, start (bytes in the document).
 
     A group is an interval of the suffix array that cannot be extended to the left, over at least two documents, seen
     through pieces: a longer repeat appears as overlapping groups of at most 2 * least - 16 bytes, which together
-    cover it. Missing texts are empty; a missing doc_id is an id below all others; repeated rows are one document.
+    cover it, and as groups of `least` bytes where a leading gram has more than `hot` distinct pieces. Missing texts are empty; a missing doc_id is an id below all others; repeated rows are one document.
     """
-    blocks, shared, key_buckets, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes)
+    blocks, shared, key_buckets, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes, hot)
 
     def scan(key, frame):
         import pandas as pd
@@ -405,7 +441,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50,
-                   keep_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   keep_text: bool = False, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Removes every byte covered by a string of `least` bytes that also starts in a document with a smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with keep_text, row_key (hash
@@ -413,7 +449,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input. A missing text is empty; a missing doc_id is below all others; rows that share an id never
     count against each other and each give a row.
     """
-    blocks, shared, key_buckets, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes)
+    blocks, shared, key_buckets, buckets = _prepared(_sized(docs, id_col, text_col), least, block_bytes, hot)
 
     def scan(frame):
         import pandas as pd

@@ -98,6 +98,28 @@ def test_repeats_are_removed(odd_docs):
         assert got == without_repeats(whole(some), least)
 
 
+def test_windows_of_hot_grams_are_dealt_singly(odd_docs, spark):
+    some = odd_docs.where("doc_id is null or doc_id <> 600")
+    for block in (1 << 20, 700):
+        got = repeats.remove_repeats(some, block_bytes=block, hot=1)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == without_repeats(whole(some), 50)
+    # one frequent line in ever different surroundings
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows = [(k, f"{word(60)} of the University of {'=' * 20} {word(60)}") for k in range(400)]
+    rows += [(1000 + k, rows[k][1][20:]) for k in range(0, 400, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def most_together(hot):
+        blocks, shared, key_buckets, _ = repeats._prepared(repeats._sized(docs, "doc_id", "text"), 50, 4000, hot)
+        sent = repeats._sent_pieces(blocks, shared, 50, key_buckets, 1, False).collect()
+        return np.unique(np.concatenate([np.frombuffer(r["key"], "<u4") for r in sent]), return_counts=True)[1].max()
+
+    assert most_together(repeats.HOT) > 300 and most_together(20) <= 20
+    got = repeats.remove_repeats(docs, block_bytes=4000, hot=20)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == without_repeats(rows, 50)
+
+
 def test_kept_text_has_whole_characters(spark):
     docs = spark.createDataFrame([(1, "é" * 40), (2, "x" + "é" * 40 + "y"), (3, "zé" * 3)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs, keep_text=True).collect()}
