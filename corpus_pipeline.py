@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstats.llm import jaccard, langid, naming, packing, repeats
-from panelstats.llm.common import whole_text
+from panelstats.llm.common import LOWEST, whole_text
 from panelstats.llm.queries import SEQUENCE, vocabulary_file
 from panelstats.session import materialise
 
@@ -33,28 +33,32 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id stays."""
-    kept = naming.copies(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("sha", F.sha2(whole_text().cast("binary"), 256))
-    match = [keyed["doc_id"].eqNullSafe(kept["doc_id"]), keyed["sha"] == kept["text_sha256"]]
-    return keyed.join(kept, match, "left_semi").select(docs.columns)
+    """Of documents with equal texts the one with the largest id stays, and of its repeated rows the smallest."""
+    key = ["id", "no_id", "sha"]
+    # a missing id is an id of its own
+    numbered = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id")]
+    kept = naming.copies(docs).where("kept").select(*numbered, F.col("text_sha256").alias("sha")).distinct()
+    keyed = docs.select(*numbered, F.sha2(whole_text().cast("binary"), 256).alias("sha"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(kept, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row")).select("row.*")
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    classes = jaccard.near_copies(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    Of several texts of that id which are near copies of each other, the one with the smallest hash stays.
+    """
+    classes = jaccard.near_copies(docs, tell_texts=True)
+    return _keep(docs, classes.where("kept").select("doc_id", "row_key"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; a document of which only white space is left goes."""
     cut = repeats.remove_repeats(docs, least=REPEAT_BYTES, keep_text=True)
     cut = cut.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).select(
-        F.col("doc_id").alias("cut_id"), F.col("row_key").alias("cut_key"), F.col("text").alias("cut_text"))
-    rest = docs.withColumn("row_key", F.xxhash64(whole_text())).drop("text")
-    match = [rest["doc_id"].eqNullSafe(cut["cut_id"]), rest["row_key"] == cut["cut_key"]]
-    out = rest.join(cut, match).withColumn("text", F.col("cut_text"))
+        F.coalesce("doc_id", F.lit(LOWEST)).alias("cut_id"), F.col("row_key").alias("cut_key"), F.col("text").alias("cut_text"))
+    cut = cut.dropDuplicates(["cut_id", "cut_key"])  # repeated rows have the same text left
+    rest = docs.withColumn("cut_key", F.xxhash64(whole_text())).withColumn("cut_id", F.coalesce("doc_id", F.lit(LOWEST)))
+    out = rest.drop("text").join(cut, ["cut_id", "cut_key"]).withColumn("text", F.col("cut_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

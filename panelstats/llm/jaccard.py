@@ -98,16 +98,21 @@ def _roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                 width: int = WIDTH, band_count: int = 40, band_rows: int = 5, step: int = 20,
-                tolerance: float = 1e-6, block: int = 1024) -> DataFrame:
+                tolerance: float = 1e-6, block: int = 1024, tell_texts: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links, n_copies.
 
     class_id: the smallest doc_id among the documents connected by links; n_links: the other documents with a
     similarity of at least `threshold`; n_copies: of these, those with the same shingle set. A text of fewer than
     `width` words is a single shingle; a text without words, or a missing one, is linked to nothing. A missing doc_id
     sorts below all others. Rows that repeat id and shingles are one document.
+
+    With `tell_texts` also row_key, a hash of the text (of texts with equal id and shingles the smallest), and kept: one
+    (doc_id, row_key) of each class, the smallest. Each text without words is then a row and a class of its own.
     """
     values = band_count * band_rows
     data = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOWEST)).alias("doc_id"), whole_text(text_col).alias("text"))
+    told = ["row_key"] if tell_texts else []
+    texts = data.withColumn("row_key", F.xxhash64("text")) if tell_texts else data
 
     def features(frames):
         import pandas as pd
@@ -121,10 +126,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append((doc, len(found), fingerprint(found), bands(sketch(found), band_rows)))
                 else:
                     out.append((doc, 0, 0, np.zeros(0, np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "size", "unit", "bands"])
+            made = pd.DataFrame(out, columns=["doc_id", "size", "unit", "bands"])
+            yield made.assign(row_key=frame["row_key"].to_numpy()) if told else made
 
-    seen = materialise(data.mapInPandas(features, "doc_id long, size long, unit long, bands array<long>"), "shingles")
-    members = seen.where("size > 0").select("doc_id", "unit").distinct()
+    schema = "doc_id long, size long, unit long, bands array<long>" + (", row_key long" if tell_texts else "")
+    seen = materialise(texts.mapInPandas(features, schema), "shingles")
+    members = seen.where("size > 0").select("doc_id", "unit", *told)
+    members = members.groupBy("doc_id", "unit").agg(F.min("row_key").alias("row_key")) if tell_texts else members.distinct()
     keys = seen.select("unit", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high")
     edges = keys.join(shared.select("band", "low"), "band").where("unit <> low").select(F.col("unit").alias("a"), F.col("low").alias("b"))
@@ -188,12 +196,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_unit = units.select("unit", "copies").join(near, "unit", "left").join(roots.withColumnRenamed("node", "unit"), "unit", "left")
     by_unit = by_unit.select("unit", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "unit").alias("root"))
     named = materialise(members.join(by_unit, "unit"), "near")
-    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    first = [F.min(F.struct("doc_id", "row_key")).alias("first")] if tell_texts else []
+    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), *first)
+    kept = [F.col("row_key"), (F.struct("doc_id", "row_key") == F.col("first")).alias("kept")] if tell_texts else []
     missing = lambda c: F.when(F.col(c) != LOWEST, F.col(c)).alias(c)
     linked_docs = named.join(classes, "root").select(
         missing("doc_id"), missing("class_id"), "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"),
-        (F.col("copies") - 1).alias("n_copies"))
-    alone = seen.where("size = 0").select("doc_id").distinct().select(
+        (F.col("copies") - 1).alias("n_copies"), *kept)
+    single = [F.col("row_key"), F.lit(True).alias("kept")] if tell_texts else []
+    alone = seen.where("size = 0").select("doc_id", *told).distinct().select(
         missing("doc_id"), F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-        F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+        F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"), *single)
     return linked_docs.unionByName(alone)

@@ -54,6 +54,26 @@ def test_odd_documents(odd_docs, spark):
     assert corpus_pipeline.STAGES[4][1](spark, docs, DATA).count() > 0
 
 
+def test_repeated_rows_and_ids(spark):
+    prose = lambda word, n: " ".join(f"{word}{k * k % 97}x{k}" for k in range(n))
+    one, two = prose("some", 60), prose("other", 60)
+    rows = [(1, one, "en", "a", 0)] * 3 + [(1, one, "en", "b", 0)]  # a repeated row, and once from another source
+    rows += [(2, prose("more", 60) + " end", "en", "a", 0), (3, prose("more", 60) + " fin", "en", "a", 0)]  # near copies
+    rows += [(2, two, "en", "a", 0), (2, two + " too", "en", "a", 0)]  # the same id: near copies of each other
+    rows += [(3, prose("last", 60), "en", "a", 0), (None, prose("none", 60), "en", "a", 0), (None, prose("none", 60), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _, exact, near, cut = (stage for _, stage in corpus_pipeline.STAGES[:4])
+    # repeats left in: each row gives one row
+    assert cut(spark, docs, DATA).count() == len(rows)
+    once = materialise(exact(spark, docs, DATA), "stage")
+    got = [tuple(r) for r in once.collect()]
+    assert sorted(got, key=repr) == sorted(set(rows) - {(1, one, "en", "b", 0)}, key=repr)
+    left = materialise(near(spark, once, DATA), "stage").collect()
+    # of id 3 only the text that is no near copy; of id 2 one of the two alike
+    assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in left) == [(0, "none"), (1, "some"), (2, "more"), (2, "othe"), (3, "last")]
+    assert cut(spark, spark.createDataFrame(left, docs.schema), DATA).count() == 5
+
+
 def test_nothing(no_docs, spark):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
