@@ -101,28 +101,25 @@ class Splitter:
         return points, starts, np.searchsorted(ends, starts, side="right")
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def word_keys(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each word's content."""
-    n = len(points)
-    v = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    """A 64-bit key of each word's content: the sum of a mixed value of each code point and its place in the word."""
+    size = np.diff(np.r_[starts, len(points)])
+    place = (np.arange(len(points)) - np.repeat(starts, size)).astype(np.uint64)
+    v = (points.astype(np.uint64) + (place << np.uint64(21)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(32)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    v *= power[:n]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(v, out=total[1:])
-    back = np.full(n + 1, _BACK, np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    stops = np.r_[starts[1:], n]
-    key = (total[stops] - total[starts]) * back[starts] + (stops - starts).astype(np.uint64)
-    key ^= key >> np.uint64(29)
-    return key * np.uint64(0xBF58476D1CE4E5B9)
+    key = np.add.reduceat(v, starts) if len(starts) else np.zeros(0, np.uint64)
+    return (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def same_content(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether left[a:a + size] equals right[b:b + size], for each triple; every size is at least 1."""
+    if not len(size):
+        return np.zeros(0, bool)
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+    return np.logical_and.reduceat(left[place + np.repeat(a, size)] == right[place + np.repeat(b, size)], ends - size)
 
 
 class Merger:
@@ -198,30 +195,70 @@ class Merger:
 
 
 class Words:
-    """Distinct words met so far in a task, each with what `make` gave for it (flat values and offsets)."""
+    """Distinct words met so far, each with what `make` gave for it (flat values and offsets).
 
-    def __init__(self, make) -> None:
-        self.make = make
+    Words are met again by a key of their content, and then compared; of words with one key the first has the key, the
+    others are met by their content. Beyond `most` words the collection starts anew.
+    """
+
+    def __init__(self, make, most: int = 500_000) -> None:
+        self.make, self.most = make, most
+        self._forget()
+
+    def _forget(self) -> None:
         self.index: dict[int, int] = {}
-        self.values = np.zeros(0, np.int64)
-        self.offsets = np.zeros(1, np.int64)
+        self.others: dict[bytes, int] = {}
+        self.count = 0
+        self.values, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.texts, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of words that are new."""
+        raw = points.tobytes()
+        words = [raw[a:b].decode("utf-32-le").encode() for a, b in zip((starts * 4).tolist(), ((starts + size) * 4).tolist())]
+        values, offsets = self.make(words)
+        self.offsets = np.r_[self.offsets, self.offsets[-1] + offsets[1:]]
+        self.values = np.r_[self.values, values]
+        ends = np.cumsum(size)
+        self.texts = np.r_[self.texts, points[np.arange(int(ends[-1])) + np.repeat(starts - (ends - size), size)]]
+        self.ends = np.r_[self.ends, self.ends[-1] + ends]
+        self.count += len(words)
+        return np.arange(self.count - len(words), self.count)
 
     def look_up(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each word."""
-        keys, first, inverse = np.unique(word_keys(points, starts), return_index=True, return_inverse=True)
+        import pandas as pd
+
+        if self.count > self.most:
+            self._forget()
+        size = np.diff(np.r_[starts, len(points)])
+        inverse, keys = pd.factorize(word_keys(points, starts))  # keys in the order of their first words
+        first = np.empty(len(keys), np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
         numbers = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        known = np.flatnonzero(numbers >= 0)
+        # the first word of each key against the known one, the others against the first
+        of_key = np.ones(len(keys), bool)
+        there, here = numbers[known], first[known]
+        of_key[known] = self.ends[there + 1] - self.ends[there] == size[here]
+        known = known[of_key[known]]
+        there, here = numbers[known], first[known]
+        of_key[known] = same_content(self.texts, self.ends[there], points, starts[here], size[here])
+        head = first[inverse]
+        same = of_key[inverse] & (size == size[head])
+        rest = np.flatnonzero(same & (head != np.arange(len(head))))
+        same[rest] = same_content(points, starts[head[rest]], points, starts[rest], size[rest])
         new = np.flatnonzero(numbers < 0)
         if len(new):
-            stops = np.r_[starts[1:], len(points)]
-            raw = points.tobytes()
-            a, b = (starts[first[new]] * 4).tolist(), (stops[first[new]] * 4).tolist()
-            words = [raw[x:y].decode("utf-32-le").encode() for x, y in zip(a, b)]
-            values, offsets = self.make(words)
-            numbers[new] = len(self.index) + np.arange(len(new))
+            numbers[new] = self._add(points, starts[first[new]], size[first[new]])
             self.index.update(zip(keys[new].tolist(), numbers[new].tolist()))
-            self.offsets = np.r_[self.offsets, self.offsets[-1] + offsets[1:]]
-            self.values = np.r_[self.values, values]
-        return numbers[inverse]
+        out = numbers[inverse]
+        for k in np.flatnonzero(~same).tolist():
+            content = points[starts[k]:starts[k] + size[k]].tobytes()
+            if content not in self.others:
+                self.others[content] = int(self._add(points, starts[k:k + 1], size[k:k + 1])[0])
+            out[k] = self.others[content]
+        return out
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the words one after the other, and the size of each word's part."""

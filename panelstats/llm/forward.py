@@ -54,13 +54,30 @@ class Forward:
         """tokens: id by content; a single unit that is missing stands for itself and never merges."""
         self.tokens, self.pairs = tokens, pairs
         self.longest = max(map(len, tokens), default=1)
+        self.finder = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"finder": None}
+
+    def _ends(self):
+        """Finds every token in a text, by its end, of several the longest first."""
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for content, i in self.tokens.items():
+            finder.add_word(content.decode("latin-1") if isinstance(content, bytes) else content, (i, len(content)))
+        if self.tokens:
+            finder.make_automaton()
+        return finder
 
     def walk(self, words: Iterable) -> Iterator[tuple[object, list[int], list[int]]]:
         """For sorted words: (word, last token by prefix length, number of tokens by prefix length).
 
-        The lists are reused; copy what is to be kept. A unit without a token gets -1 - its code.
+        The lists are reused; copy what is to be kept. A unit without a token gets -2 - its code.
         """
-        tokens, longest = self.tokens.get, self.longest
+        self.finder = self.finder or self._ends()
+        find = self.finder.iter if self.tokens else lambda text, begin: ()
+        longest = self.longest
         size, known, allowed = self.pairs.size, self.pairs.known.get, self.pairs.allowed
         last, count, before = [-1], [0], None
         for word in words:
@@ -70,25 +87,30 @@ class Forward:
                 while shared < most and word[shared] == before[shared]:
                     shared += 1
             del last[shared + 1:], count[shared + 1:]
-            for i in range(shared + 1, len(word) + 1):
-                for j in range(max(0, i - longest), i):
-                    t = tokens(word[j:i])
-                    if t is None:
+            units = word.decode("latin-1") if isinstance(word, bytes) else word
+            at = shared  # states are known up to here
+            if shared < len(units):
+                for end, (t, length) in find(units, max(0, shared + 1 - longest)):
+                    if end < at:
                         continue
-                    p = last[j]
+                    while at < end:
+                        last.append(-2 - ord(units[at]))
+                        count.append(count[at] + 1)
+                        at += 1
+                    p = last[end + 1 - length]
                     if p >= 0:
                         ok = known(p * size + t)
                         if ok is None:
                             ok = allowed(p, t)
                         if not ok:
                             continue
+                    at = end + 1
                     last.append(t)
-                    count.append(count[j] + 1)
-                    break
-                else:
-                    unit = word[i - 1:i]
-                    last.append(-2 - (unit[0] if isinstance(unit, bytes) else ord(unit)))
-                    count.append(count[i - 1] + 1)
+                    count.append(count[at - length] + 1)
+                while at < len(units):
+                    last.append(-2 - ord(units[at]))
+                    count.append(count[at] + 1)
+                    at += 1
             yield word, last, count
             before = word
 

@@ -38,8 +38,8 @@ def least_matches(values: int, step: int, threshold: float, tolerance: float) ->
 
 
 def linked(left: np.ndarray, right: np.ndarray, step: int, least: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two signature tables that survive the incremental comparison."""
-    found_i, found_j = [], []
+    """Pairs of rows of two signature tables that survive the incremental comparison; an empty table has none."""
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for begin in range(0, len(left), 64):
         part = left[begin:begin + 64]
         hits = (part[:, None, :step] == right[None, :, :step]).sum(axis=2)

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a walk over a trie of marked words.
 
 Blanks become the mark, texts fall apart before each run of marks (no piece of the vocabulary has a mark behind another
-character), and each distinct marked word of a task is encoded once: the words are sorted into a trie and walked depth
+character), and each distinct marked word is encoded once: the words are sorted into a trie and walked depth
 first, every prefix taking over the forward states of the prefix it shares with the word before.
 
 A vocabulary of merged pairs is not encoded by the path of the largest score, so the forward state of a prefix is not a
@@ -93,6 +93,17 @@ class Decoder:
         return [raw[a:b].decode("utf-8", "replace")[1 if raw[a:a + 1] == b" " else 0:] for a, b in zip(stop, stop[1:])]
 
 
+_KEPT: dict[str, tuple[Encoder, Decoder]] = {}  # one vocabulary at a time; `Words` bounds what it remembers
+
+
+def coders(file: str, spec: dict, states: forward.Forward) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of a vocabulary; a worker process keeps them, so later tasks find the words of earlier ones."""
+    if file not in _KEPT:
+        _KEPT.clear()
+        _KEPT[file] = Encoder(spec, states), Decoder(spec)
+    return _KEPT[file]
+
+
 def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text",
            keep_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (unsigned, little-endian 32-bit ids), round_trip and, unless declined, ids.
@@ -111,7 +122,7 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
         import pandas as pd
 
         spec, states = shared.value
-        encoder, decoder = Encoder(spec, states), Decoder(spec)
+        encoder, decoder = coders(file, spec, states)
         for frame in frames:
             texts = frame["text"].tolist()
             for part in batches(texts):

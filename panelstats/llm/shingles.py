@@ -6,7 +6,6 @@ import numpy as np
 
 WIDTH = 5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_P = np.uint64(0x100000001B3)
 _INWORD = np.array([(48 <= b <= 57) or (65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -26,16 +25,12 @@ def word_hashes(raw: bytes) -> np.ndarray:
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    # a polynomial of the bytes behind the last word start, evaluated for all words at once
-    v = mix(_LOWER[b].astype(np.uint64) + np.uint64(1))
-    power = np.full(len(b), _P, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum(v * power, dtype=np.uint64)]
-    back = np.full(len(b), np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    return mix((total[stops] - total[starts]) * back[starts] + (stops - starts).astype(np.uint64))
+    # the sum of a mixed value of each byte and its place in the word
+    size = stops - starts
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+    v = mix(_LOWER[b[place + np.repeat(starts, size)]].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1))
+    return mix(np.add.reduceat(v, ends - size) + size.astype(np.uint64))
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:

@@ -177,7 +177,7 @@ def near(docs):
 
 def test_near_copies(odd_docs):
     docs = odd_docs.where("doc_id is not null or text is not null")
-    for block in (1024, 2):
+    for block in (1024, 3, 2, 1):
         got = jaccard.near_copies(docs, block=block).select("doc_id", "class_id", "class_size", "n_links")
         assert sorted((tuple(r) for r in got.collect()), key=repr) == near(docs)
 
