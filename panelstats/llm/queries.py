@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, jaccard, langid, licenses, naming, packing, pieces, repeats, topk, warc
+from panelstats.llm import counts, divergence, jaccard, langid, licenses, naming, packing, pieces, repeats, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -128,6 +128,57 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 """
 
 
+def op12_quality_rules(spark, folder):
+    return divergence.quality(table(spark, folder, "documents"))
+
+
+def op12_sql() -> str:
+    """Windows and common words as rows; distances from lists of shares."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    quoted = [chars.replace("'", "''") for chars in divergence.CLASSES.values()]
+    counted = lambda col: [f"len(regexp_replace({col}, '[^{chars}]+', '', 'g'))" for chars in quoted]
+    of_text = ", ".join(f"{c} AS c{k}" for k, c in enumerate(counted("text")))
+    sums = ", ".join(f"sum(n * {c}) AS c{k}" for k, c in enumerate(counted("word")))
+    rest = " - ".join(["{0}", *(f"c{k}" for k in range(len(quoted)))])
+    shares = lambda total: "[" + ", ".join([*(f"c{k} / {total}" for k in range(len(quoted))), f"({rest.format(total)}) / {total}"]) + "]"
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
+    distance = ("round(sqrt(greatest(0, list_sum(list_transform(list_zip({0}, {1}), lambda z: "
+                f"({part.format('z[1]')} + {part.format('z[2]')}) / 2 - {part.format('((z[1] + z[2]) / 2)')})))), 6)")
+    return f"""
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
+each AS MATERIALIZED (SELECT r, lang, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM t),
+words AS (SELECT lang, word, count(*) AS n FROM each GROUP BY 1, 2),
+totals AS (SELECT lang, sum(n) AS all_words, sum(n * len(word)) AS size, {sums} FROM words GROUP BY 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM words) WHERE place <= 20),
+refs AS (SELECT lang, {shares('size')} AS classes FROM totals),
+word_refs AS (SELECT lang, list(n / all_words ORDER BY place) AS shares FROM best JOIN totals USING (lang) GROUP BY 1),
+windows AS (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS v FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM t)),
+twice AS (SELECT r, k FROM (SELECT *, count(*) OVER (PARTITION BY r, v) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS j FROM twice) GROUP BY 1),
+own AS (
+  SELECT r, list(coalesce(n, 0) ORDER BY place) AS counts
+  FROM (SELECT r, place, word FROM t JOIN best USING (lang)) LEFT JOIN (SELECT r, word, count(*) AS n FROM each GROUP BY 1, 2) USING (r, word)
+  GROUP BY 1),
+measured AS (
+  SELECT r, doc_id, lang, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+    len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, {word})) AS lines, {of_text} FROM t),
+judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(repeated.n, 0) AS n_repeat_words,
+    CASE WHEN word_chars >= 200 THEN {distance.format(shares('word_chars'), 'refs.classes')} END AS class_distance,
+    CASE WHEN n_words >= 100 THEN {distance.format(
+        "list_append(list_transform(counts, lambda c: c / n_words), (n_words - list_sum(counts)) / n_words)",
+        "list_append(shares, greatest(0, 1 - list_sum(shares)))")} END AS word_distance
+  FROM measured LEFT JOIN repeated USING (r) LEFT JOIN own USING (r) LEFT JOIN refs USING (lang) LEFT JOIN word_refs USING (lang))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR coalesce(class_distance > 0.35, false) OR coalesce(word_distance > 0.35, false)) AS kept
+FROM judged
+"""
+
+
 QUERIES = {
     "op1_packing": Query(op1_packing),
     "op2_repeats": Query(op2_repeats),
@@ -139,4 +190,5 @@ QUERIES = {
     "op8_token_counts": Query(op8_token_counts),
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
     "op10_license_scan": Query(op10_license_scan, op10_sql()),
+    "op12_quality_rules": Query(op12_quality_rules, op12_sql()),
 }
