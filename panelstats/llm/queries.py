@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from panelstats.llm import counts, divergence, jaccard, langid, licenses, naming, packing, pieces, repeats, topk, warc
+from pyspark.sql import functions as F
+
+from panelstats.llm import counts, divergence, jaccard, langid, licenses, naming, negatives, packing, pieces, repeats, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -179,6 +181,30 @@ FROM judged
 """
 
 
+def op13_hard_negatives(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, folder, "embeddings"), "vec_id % 100 = 0", moved)
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.r <> c.r),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM scored WHERE same) WHERE nth <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.nth ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same AND 100 * n.score BETWEEN 80 * p.score AND 100 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_packing": Query(op1_packing),
     "op2_repeats": Query(op2_repeats),
@@ -191,4 +217,5 @@ QUERIES = {
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
     "op10_license_scan": Query(op10_license_scan, op10_sql()),
     "op12_quality_rules": Query(op12_quality_rules, op12_sql()),
+    "op13_hard_negatives": Query(op13_hard_negatives, OP13_SQL),
 }
