@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelstats.llm import counts, divergence, jaccard, langid, licenses, naming, negatives, packing, pieces, repeats, topk, warc
+from panelstats.llm import alignment, counts, divergence, jaccard, langid, licenses, naming, negatives, packing, pieces, repeats, topk, warc
 from panelstats.llm.common import Query, table
 
 
@@ -130,6 +130,10 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 """
 
 
+def op11_alignment(spark, folder):
+    return alignment.align(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+
+
 def op12_quality_rules(spark, folder):
     return divergence.quality(table(spark, folder, "documents"))
 
@@ -216,6 +220,7 @@ QUERIES = {
     "op8_token_counts": Query(op8_token_counts),
     "op9_exact_dedup": Query(op9_exact_dedup, OP9_SQL),
     "op10_license_scan": Query(op10_license_scan, op10_sql()),
+    "op11_alignment": Query(op11_alignment),
     "op12_quality_rules": Query(op12_quality_rules, op12_sql()),
     "op13_hard_negatives": Query(op13_hard_negatives, OP13_SQL),
 }
