@@ -5,8 +5,11 @@ values meet already on the map side and a hot group spreads over its values.
 A value's magnitude bucket (octave plus leading fraction bits) is monotone in
 the value, so ranks resolve in two short steps: a running count over the
 occupied buckets of a group, then a running count inside just the few buckets
-that hold a wanted rank. A bucket spans 1/4096 of an octave: values that all lie within
-one, such as clock readings of a few days, still meet in one task.
+that hold a wanted rank. A bucket spans 1/4096 of an octave; one that is looked into is
+cut twice more, each time into 8,192 parts between its own least and largest value, and
+only the part that holds the rank goes on. A double has 52 fraction bits, so what is left
+in the end holds some 16,000 different values at most, whatever the data: clock readings
+of a few days spread like any other values.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 QUARTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 LOWEST_OCTAVE = -1100
 MISSING = -(1 << 62)  # bucket of missing values, below every other
+PARTS, CUTS = 1 << 13, 2  # parts of a bucket, and how often it is cut
 
 
 def _octave(a: Column) -> Column:
@@ -86,6 +90,34 @@ def value_counts(
     )
 
 
+def _part() -> Column:
+    """Monotone number of the value's part between _lo and _hi; a single value is one part."""
+    return F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * PARTS), F.lit(0))
+
+
+def narrowed(rows: DataFrame, keys: Sequence[str], wanted=None) -> tuple[DataFrame, list[str]]:
+    """Rows (keys, _v, _c, _lo, _hi, _before) in parts cut ``CUTS`` times, and the keys of a part.
+
+    _before is the running count ahead of the part. ``wanted(before, upto)`` says which parts are looked into, all if
+    it is missing. Parts are summed on the map side, so a large bucket spreads over its parts.
+    """
+    keys = list(keys)
+    for level in range(CUTS):
+        name = f"_part{level}"
+        rows = rows.withColumn(name, _part()).drop("_lo", "_hi")
+        parts = rows.groupBy(*keys, name).agg(
+            F.sum("_c").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.first("_before").alias("_before"), *([F.first("_n").alias("_n")] if wanted else []))
+        run = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("_upto", F.col("_before") + F.sum("_sum").over(run))
+        parts = parts.withColumn("_before", F.col("_upto") - F.col("_sum"))
+        if wanted:
+            parts = parts.where(wanted(F.col("_before"), F.col("_upto"))).drop("_n")
+        keys.append(name)
+        rows = rows.drop("_before").join(parts.drop("_upto", "_sum"), keys)
+    return rows.drop("_lo", "_hi"), keys
+
+
 def distribution(
     df: DataFrame,
     by: Sequence[str],
@@ -141,15 +173,19 @@ def distribution(
         at = F.lit(p) * (F.col("_n") - 1)
         return F.floor(at), F.ceil(at), at - F.floor(at)
 
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+    def holds(rank: Column, before: Column, upto: Column) -> Column:
+        return (rank >= before) & (rank < upto)
+
+    def wanted(before: Column, upto: Column) -> Column:
+        found = F.col("_n") == 0  # a group without any value keeps its row of missing values
+        for p in quantiles.values():
+            for r in ranks(p)[:2]:
+                found = found | holds(r, before, upto)
+        return found
 
-    # a group without any value keeps its row of missing values
-    wanted = F.col("_n") == 0
-    for p in quantiles.values():
-        for r in ranks(p)[:2]:
-            wanted = wanted | (here & holds(r))
-    mark = F.struct("_bucket", (F.col("_upto") - F.col("_c")).alias("_before"))
+    ahead = F.col("_upto") - F.col("_c")
+    looked_into = (F.col("_n") == 0) | (here & wanted(ahead, F.col("_upto")))
+    mark = F.struct("_bucket", ahead.alias("_before"), "_lo", "_hi")
     stats = hist.groupBy(*group).agg(
         F.sum("_c").alias("n_rows"),
         F.max("_n").alias("n"),
@@ -166,21 +202,19 @@ def distribution(
         F.coalesce(F.sum(F.when(F.col("_bucket") == 0, F.col("_c"))), F.lit(0)).alias("n_zero"),
         F.coalesce(F.sum(F.when(here & (F.col("_bucket") < 0), F.col("_c"))), F.lit(0)).alias("n_negative"),
         *carried(),
-        *([F.collect_list(F.when(wanted, mark)).alias("_marks")] if quantiles else []),
+        *([F.collect_list(F.when(looked_into, mark)).alias("_marks")] if quantiles else []),
     )
     if not quantiles:
         return stats
     names = [x for x in stats.columns if x not in (*group, "_marks")]
     marks = stats.select(*group, F.col("n").alias("_n"), F.struct(*names).alias("_stats"), F.inline("_marks"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
-    ranked = counts.drop("_octave").join(marks, [*group, "_bucket"]).withColumn(
-        "_upto",
-        F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    )
+    near, keys = narrowed(counts.drop("_octave").join(marks, [*group, "_bucket"]), [*group, "_bucket"], wanted)
+    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
     picks = []
     for name, p in quantiles.items():
         lo, hi, frac = ranks(p)
-        low, high = (F.max(F.when(holds(r), F.col("_v"))) for r in (lo, hi))
+        low, high = (F.max(F.when(holds(r, ahead, F.col("_upto")), F.col("_v"))) for r in (lo, hi))
         picks.append((low + (high - low) * F.max(frac)).alias(name))
     # reading the carried columns here too leaves both readers of the value counts
     # with the same columns, so that one exchange, and one scan, serves both
@@ -195,19 +229,11 @@ def ranks_within(df: DataFrame, by: Sequence[str], value: str, bits: int = 12) -
     known = present(df, [*by, value]).select(*by, F.col(value).cast("double").alias("_v"))
     counts = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_bucket", F.coalesce(magnitude_bucket("_v", bits), F.lit(MISSING)))
-    hist = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_bc"))
+    hist = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     run = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_before", F.sum("_bc").over(run) - F.col("_bc"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
-    return (
-        counts.join(hist, [*by, "_bucket"])
-        .withColumn(
-            "_upto",
-            F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        .select(
-            *by,
-            F.col("_v").alias(value),
-            (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"),
-        )
-    )
+    hist = hist.withColumn("_before", F.sum("_bc").over(run) - F.col("_bc")).drop("_bc")
+    near, keys = narrowed(counts.join(hist, [*by, "_bucket"]), [*by, "_bucket"])
+    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.sum("_c").over(inside)
+    return near.withColumn("_upto", upto).select(
+        *by, F.col("_v").alias(value), (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"))

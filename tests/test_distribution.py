@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelstats.operators.distribution import distribution, magnitude_bucket, ranks_within
+from panelstats.operators.distribution import distribution, magnitude_bucket, narrowed, ranks_within
 
 PROBS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -87,3 +87,37 @@ def test_bucket_is_monotone(spark):
 def test_ranks(spark, rows):
     df = spark.createDataFrame([("a", v) for v in [3.0, 1.0, 3.0, 2.0, -1.0]], "g string, v double")
     assert rows(ranks_within(df, ["g"], "v"), "v", "avg_rank") == [(-1.0, 1.0), (1.0, 2.0), (2.0, 3.0), (3.0, 4.5)]
+
+
+def clock(spark, count):
+    """Seconds of eleven days at a clock's offset, all in one magnitude bucket."""
+    return spark.range(count).select(F.lit("g").alias("g"), (F.lit(1.7e9) + (F.col("id") * 7919 % count)).alias("v"))
+
+
+def test_one_bucket_holds_all(spark):
+    """Values that share a magnitude bucket are spread over parts; what meets in the end is a small share of them."""
+    count = 1_000_000
+    df = clock(spark, count)
+    assert df.select(magnitude_bucket("v")).distinct().count() < 10
+    values = 1.7e9 + np.arange(count)
+    check(distribution(df, ["g"], ["v"]).first(), values, sd_tol=1e-8)
+    rows = df.select("g", F.col("v").alias("_v"), F.lit(1).alias("_c"), F.lit(0).alias("_before"),
+                     F.lit(1.7e9).alias("_lo"), F.lit(1.7e9 + count - 1).alias("_hi"))
+    near, keys = narrowed(rows, ["g"])
+    assert max(r["count"] for r in near.groupBy(*keys).count().collect()) <= 0.02 * count
+    assert near.groupBy("g", "_part0").count().agg(F.max("count")).first()[0] <= 0.02 * count
+    ranked = ranks_within(df, ["g"], "v")
+    assert ranked.where("avg_rank <> v - 1.7e9 + 1").count() == 0 and ranked.count() == count
+
+
+def test_doubles_next_to_each_other(spark):
+    """Neighbouring doubles, and clusters on many scales, keep their ranks through all cuts."""
+    rng = np.random.default_rng(2)
+    values = np.concatenate([1.0 + np.arange(300) * 2.0 ** -52, 1.0 + 2.0 ** -rng.uniform(10, 52, 700), [1.0] * 5,
+                             -1.0 - np.arange(50) * 2.0 ** -40])
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    got = distribution(df, ["g"], ["v"]).first()
+    for name, p in PROBS.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-15)
+    order = {v: (np.sum(values < v) + 1 + np.sum(values <= v)) / 2 for v in set(values.tolist())}
+    assert {r["v"]: r["avg_rank"] for r in ranks_within(df, ["g"], "v").collect()} == order
