@@ -1,7 +1,8 @@
 """Residual block bootstrap of a straight-line slope, without a sequential generator.
 
-Block starts come from a counter hash of (seed, series, block length, replicate,
-block), so a replicate is the same on every attempt and under any partitioning.
+Block starts come from MD5 of the text "seed|series|block length|replicate|four blocks",
+whose 32 hex digits give four starts, so a replicate is the same on every attempt, under
+any partitioning, and in any engine that knows MD5.
 The slope is linear in the data: refitting fitted + resampled residuals equals the
 observed slope plus the weighted sum of the resampled residuals, so a batch of
 replicates is one gather and one matrix product, and nothing is regrouped.
@@ -9,6 +10,7 @@ replicates is one gather and one matrix product, and nothing is regrouped.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -22,28 +24,22 @@ from panelstats.operators.trend import detrend, residual_memory
 
 BATCH = 500  # replicates per row of work
 
-# fixed values: constants of the splitmix64 mixing function
-MIX_STEP = np.uint64(0x9E3779B97F4A7C15)
-MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
-MIX_2 = np.uint64(0x94D049BB133111EB)
+DRAWS = 4  # block starts that one digest gives, each from eight hex digits
 
 
-def mix(z: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = z + MIX_STEP
-        z = (z ^ (z >> np.uint64(30))) * MIX_1
-        z = (z ^ (z >> np.uint64(27))) * MIX_2
-        return z ^ (z >> np.uint64(31))
-
-
-def circular_positions(key: int, n: int, block_length: int, replicates: np.ndarray) -> np.ndarray:
+def circular_positions(key: str, n: int, block_length: int, replicates: np.ndarray) -> np.ndarray:
     """(replicate, place) -> source position: blocks of consecutive places from random
     starts, wrapping round at n, cut off when n places are filled."""
     place = np.arange(n)
-    block = np.arange(-(-n // block_length), dtype=np.uint64)
-    seed = np.array([key & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
-    rows = mix(mix(seed) ^ replicates.astype(np.uint64))
-    starts = (mix(rows[:, None] ^ mix(block)[None, :]) % np.uint64(n)).astype(np.int64)
+    digests = -(-n // (block_length * DRAWS))
+    begun = hashlib.md5(f"{key}|".encode())
+    raw = []
+    for r in replicates.tolist():
+        for d in range(digests):
+            one = begun.copy()
+            one.update(b"%d|%d" % (r, d))
+            raw.append(one.digest())
+    starts = np.frombuffer(b"".join(raw), ">u4").reshape(len(replicates), -1).astype(np.int64) % n
     return (starts[:, place // block_length] + place % block_length) % n
 
 
@@ -53,7 +49,7 @@ def batch_slopes(
 ) -> pd.Series:
     out = []
     for k, s, resid, weight, size, lo, hi in zip(key, slope, e, w, length, first, last):
-        at = circular_positions(int(k), len(resid), int(size), np.arange(lo, hi + 1))
+        at = circular_positions(k, len(resid), int(size), np.arange(lo, hi + 1))
         out.append(s + np.asarray(resid, float)[at] @ np.asarray(weight, float))
     return pd.Series(out)
 
@@ -85,7 +81,7 @@ def slope_batches(
     )
     first = F.col("_batch") * BATCH
     last = F.least(first + BATCH, F.lit(n_boot)) - 1
-    key = F.xxhash64(F.lit(seed), *by, "block_length")
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(b).cast("string") for b in by], F.col("block_length").cast("string"))
     slopes = batch_slopes(key, "observed_slope", "_e", "_w", "block_length", first, last)
     return work.select(*by, "block_length", "observed_slope", slopes.alias("slopes"))
 

@@ -237,8 +237,32 @@ QUERIES = {
         SELECT brand, count(*) AS n, corr(before, residual) AS lag1,
           sum((residual - before) * (residual - before)) / sum(residual * residual) AS durbin_watson
         FROM steps GROUP BY 1""", real="lag1 durbin_watson")),
-    # block starts come from a hash that SQL engines do not share: checked in tests instead
-    "block_bootstrap": Query(run_bootstrap),
+    "block_bootstrap": Query(run_bootstrap, shaped(f"""WITH {BRAND_MONTHS},
+        line AS (SELECT *, y - (regr_intercept(y, m) OVER s + regr_slope(y, m) OVER s * m) AS raw FROM brand_months WINDOW s AS (PARTITION BY brand)),
+        series AS (
+          SELECT brand, count(*) AS n, regr_slope(y, m) AS slope, list(m ORDER BY m) AS ms, avg(m) AS mm, var_pop(m) * count(*) AS sxx,
+            list(raw - mean ORDER BY m) AS e
+          FROM (SELECT *, avg(raw) OVER (PARTITION BY brand) AS mean FROM line) GROUP BY 1 HAVING count(*) >= 3 AND var_pop(m) > 0),
+        packed AS (SELECT *, list_transform(ms, lambda x: (x - mm) / sxx) AS w FROM series),
+        drawn AS (
+          SELECT brand, len, n, slope, e, w, list_transform(range(CAST(ceil(n / (4.0 * len)) AS BIGINT)),
+              lambda d: md5(concat_ws('|', 1, brand, len, r, d))) AS digests
+          FROM packed, (SELECT unnest([3, 4, 5]) AS len), (SELECT unnest(range(20000)) AS r)),
+        started AS (
+          SELECT brand, len, n, slope, e, w, list_transform(range(CAST(ceil(n / len) AS BIGINT)), lambda b:
+              CAST('0x' || substr(digests[b // 4 + 1], CAST(8 * (b % 4) + 1 AS INT), 8) AS BIGINT) % n) AS starts FROM drawn),
+        slopes AS (
+          SELECT brand, len, slope, slope + list_sum(list_transform(range(n), lambda p:
+              e[(starts[p // len + 1] + p % len) % n + 1] * w[p + 1])) AS s FROM started),
+        steps AS (
+          SELECT brand, e, lag(e) OVER (PARTITION BY brand ORDER BY m) AS e0
+          FROM (SELECT brand, m, raw - avg(raw) OVER (PARTITION BY brand) AS e FROM line)),
+        memory AS (SELECT brand, corr(e0, e) AS lag1, sum((e - e0) * (e - e0)) / sum(e * e) AS dw FROM steps GROUP BY 1) --final
+        SELECT brand, len AS block_length, any_value(slope) AS observed_slope, any_value(lag1) AS residual_lag1, any_value(dw) AS durbin_watson,
+          quantile_cont(s, 0.5) AS median_slope, quantile_cont(s, 0.025) AS low95, quantile_cont(s, 0.975) AS high95,
+          count(*) FILTER (s < 0) / count(*) AS share_negative
+        FROM slopes JOIN memory USING (brand) GROUP BY 1, 2""",
+        real="observed_slope residual_lag1 durbin_watson median_slope low95 high95 share_negative", ints="block_length")),
     "corr_contemporaneous": Query(run_corr_contemporaneous, shaped(
         f"WITH {_SAME_DAY} --final SELECT * FROM result", real=_CORR_REAL, ints="year")),
     "corr_lagged": Query(run_corr_lagged, shaped(

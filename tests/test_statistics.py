@@ -123,14 +123,13 @@ def test_bootstrap_against_refits(spark):
     slope, intercept = np.polyfit(x, y, 1)
     fitted = intercept + slope * x
     e = y - fitted - (y - fitted).mean()
-    key = spark.sql("select xxhash64(11, 's', 3)").first()[0]
-    at = bootstrap.circular_positions(key, 8, 3, np.arange(700))
+    at = bootstrap.circular_positions("11|s|3", 8, 3, np.arange(700))
     want = sorted(np.polyfit(x, fitted + e[row], 1)[0] for row in at)
     assert got == pytest.approx(want, abs=1e-10)
 
 
 def test_blocks_are_consecutive_and_uniform():
-    at = bootstrap.circular_positions(5, 10, 4, np.arange(4000))
+    at = bootstrap.circular_positions("5", 10, 4, np.arange(4000))
     assert ((at[:, 1] - at[:, 0]) % 10 == 1).all() and ((at[:, 9] - at[:, 8]) % 10 == 1).all()
     starts = np.bincount(at[:, [0, 4, 8]].ravel(), minlength=10)
     assert (abs(starts - 1200) < 150).all()
