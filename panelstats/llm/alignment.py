@@ -19,13 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelstats.llm import bytelevel, forward, pieces
+from panelstats.llm import bytelevel, pieces
 from panelstats.llm.common import documents_of
 from panelstats.llm.counts import batches
 from panelstats.session import materialise
 
 STRETCH = 64  # offsets of the driving list searched one after the other
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
+WORDS = 200_000  # distinct words of either side that a worker remembers
 SMALL_GROUP = 64  # links of a group that are written out; in larger ones equal ids are counted first
 SHORT = 1 << 16
 
@@ -92,14 +93,31 @@ class Side:
         return self.flat[self.begin[ids][part] + place].tobytes()
 
 
+class PieceEncoder(pieces.Encoder):
+    """As the piece operator's encoder, but the library encodes the distinct words."""
+
+    def __init__(self, model) -> None:
+        self.model, self.mark = model, model.piece_to_id(chr(pieces.MARK))
+        self.words = bytelevel.Words(self._make, WORDS)
+
+    def _make(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # the library puts the first mark of a word there itself, but for an empty text
+        found = [ids or [self.mark] for ids in self.model.encode([w.decode()[1:] for w in words], num_threads=1)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), np.r_[0, np.cumsum(sizes)]
+
+
 class Aligner:
     """Groups and links of batches of texts."""
 
-    def __init__(self, vocabulary: dict, spec: dict, states: forward.Forward) -> None:
+    def __init__(self, vocabulary: dict, spec: dict) -> None:
+        import sentencepiece
+
         plain = bytelevel.Encoder(vocabulary | {"special": {}})  # special strings inside texts are plain text
+        plain.words.most = WORDS
         self.a = Side(plain, [vocabulary["content"].get(i, b"") for i in range(vocabulary["size"])])
         literal = [b if b else spec["names"][i] for i, b in enumerate(spec["content"])]
-        self.b = Side(pieces.Encoder(spec, states), literal)
+        self.b = Side(PieceEncoder(sentencepiece.SentencePieceProcessor(model_proto=spec["file"])), literal)
         ids = [str(i) for i in range(max(len(self.a.length), len(self.b.length)))]
         self.shown = [i + mark for mark in ",|;" for i in ids]
         self.wide = len(ids)
@@ -202,27 +220,28 @@ def unpacked(low: bytes, high: bytes, times: bytes) -> tuple[np.ndarray, np.ndar
 _KEPT: dict[tuple[str, str], Aligner] = {}  # a worker process keeps the words it has met, as far as `Words` allows
 
 
-def aligner(files: tuple[str, str], vocabulary: dict, spec: dict, states: forward.Forward) -> Aligner:
+def aligner(files: tuple[str, str], vocabulary: dict, spec: dict) -> Aligner:
     if files not in _KEPT:
         _KEPT.clear()
-        _KEPT[files] = Aligner(vocabulary, spec, states)
+        _KEPT[files] = Aligner(vocabulary, spec)
     return _KEPT[files]
 
 
 def read_pieces(file: str) -> dict:
-    """As pieces.read_pieces, with the written names of the pieces that stand for no text."""
+    """As pieces.read_pieces, with the file and the written names of the pieces that stand for no text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=file)
     spec = pieces.read_pieces(file)
-    return spec | {"names": [model.id_to_piece(i).encode() for i in range(spec["size"])]}
+    with open(file, "rb") as f:
+        content = f.read()
+    return spec | {"file": content, "names": [model.id_to_piece(i).encode() for i in range(spec["size"])]}
 
 
 def encoded(docs: DataFrame, file_a: str, file_b: str, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
     """Rows of documents with their groups and packed links, and a row of pairs for each chunk."""
     vocabulary, spec = bytelevel.read_vocabulary(file_a), read_pieces(file_b)
-    states = forward.from_scores(spec["pieces"], spec["scores"], spec["size"])
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, spec, states))  # as large as the vocabularies
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, spec))  # as large as the vocabularies
     names = ["chunk", "doc_id", "no_id", "n_a", "n_b", "n_groups", "n_links", "sha", "low", "high", "times", "pairs", "n_docs"]
     schema = ("chunk string, doc_id long, no_id boolean, n_a long, n_b long, n_groups long, n_links long, sha string, low binary, high binary, "
               "times binary, pairs array<long>, n_docs array<long>")
