@@ -2,8 +2,11 @@
 
 Least squares runs as native aggregates. Kendall and Theil-Sen need every pair
 of points; the pairs are never laid out as rows. A series (one point per period)
-travels as two short arrays and a vectorised kernel counts order and slopes in
-O(n log n) memory-light passes when it is long.
+travels as two arrays. Kendall counts inversions. Theil-Sen counts the slopes below
+a threshold t as the inversions of y - t x, brackets a rank between thresholds taken
+from random pairs, and lists only the real slopes inside the last bracket: a few
+O(n log n) passes. Only where a large share of all slopes is equal to the last bits
+(whole numbers on a grid) are all pairs looked at, a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -27,18 +30,46 @@ def _tie_sizes(v: np.ndarray) -> np.ndarray:
     return sizes[sizes > 1].astype(float)
 
 
-def _count_descents(v: np.ndarray) -> int:
-    """Pairs i < j with v[i] > v[j], by repeated merging of sorted halves."""
-    ranks = np.unique(v, return_inverse=True)[1].astype(np.int64)
+def _inversions(ranks: np.ndarray, listed: bool = False):
+    """Pairs i < j with ranks[i] > ranks[j] (ranks from 0): their number, or their places (i, j).
+
+    Merges sorted blocks of doubling size; a level is one search over all its blocks at once.
+    """
     n, width, total = len(ranks), 1, 0
+    place, found = np.arange(n), []
+    value = np.asarray(ranks, np.int64)
     while width < n:
-        for lo in range(0, n, 2 * width):
-            left, right = ranks[lo:lo + width], ranks[lo + width:lo + 2 * width]
-            if len(right):
-                total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-                ranks[lo:lo + 2 * width] = np.sort(ranks[lo:lo + 2 * width], kind="stable")
+        block = place // (2 * width)
+        right = (place // width) % 2 == 1
+        span = int(value.max(initial=0)) + 1
+        # within a pair of blocks: how many values of the left one are at most the right one's value
+        keys = block * span + value
+        left_keys, right_keys = keys[~right], keys[right]
+        starts = np.searchsorted(left_keys, block[right] * span)
+        ends = np.searchsorted(left_keys, (block[right] + 1) * span)
+        upto = np.searchsorted(left_keys, right_keys, side="right")
+        total += int((ends - upto).sum())
+        order = np.argsort(keys, kind="stable")
+        if listed:
+            size = ends - np.maximum(upto, starts)
+            own = np.repeat(np.flatnonzero(right), size)
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            found.append((np.flatnonzero(~right)[np.repeat(upto, size) + step], own))
+            if width == 1:
+                origin = np.arange(n)
+            i, j = found.pop()
+            found.append((origin[i], origin[j]))
+            origin = origin[order]
+        value = value[order]
         width *= 2
-    return total
+    if not listed:
+        return total
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _count_descents(v: np.ndarray) -> int:
+    """Pairs i < j with v[i] > v[j]."""
+    return _inversions(np.unique(v, return_inverse=True)[1])
 
 
 def _kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -69,43 +100,138 @@ def _slope_parts(x: np.ndarray, y: np.ndarray):
         yield (y[None, :] - y[a:a + step, None])[keep] / dx[keep]
 
 
-def _slopes_at(x: np.ndarray, y: np.ndarray, ranks: list[int]) -> list[float]:
-    """The slopes of the given 0-based ranks among all pairs.
-
-    Slopes are counted in bins; the bin that holds a rank is cut again until what is in it can be listed. Every
-    comparison is one of slopes as they are, so the result does not depend on the bins.
-    """
-    found = {}
-    for rank in sorted(set(ranks)):
-        lo, hi, before = -math.inf, math.inf, 0  # the slope is in [lo, hi); before: slopes under lo
-        while True:
-            parts, size, low, high = [], 0, math.inf, -math.inf
-            for s in _slope_parts(x, y):
-                s = s[(s >= lo) & (s < hi)] if math.isfinite(hi) or math.isfinite(lo) else s
-                if len(s):
-                    size, low, high = size + len(s), min(low, s.min()), max(high, s.max())
-                    if size <= LISTED:
-                        parts.append(s)
-            if size <= LISTED:
-                found[rank] = float(np.sort(np.concatenate(parts))[rank - before])
+class _Slopes:
+    """All slopes of a series, counted and listed without laying out the pairs."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        order = np.lexsort((y, x))
+        self.x, self.y = x[order], y[order]
+        self.at = self.x - self.x[len(x) // 2]  # smaller numbers lose fewer digits in y - t x
+        gaps = np.diff(self.x)
+        self.gap = gaps[gaps > 0].min(initial=math.inf)
+        self.most = 1 + 2 * (self.y.max() - self.y.min()) / self.gap  # beyond every slope
+
+    def doubt(self, t: float) -> float:
+        """Slopes nearer to t than this may be counted on the wrong side."""
+        size = np.abs(self.y).max() + abs(t) * np.abs(self.at).max() + (1 + abs(t)) * np.abs(self.x).max() * 2.0 ** -40
+        return 2.0 ** -49 * (size / self.gap + abs(t))
+
+    def _ranked(self, t: float) -> np.ndarray:
+        """Ranks of y - t x; points of equal x keep their order."""
+        order = np.lexsort((self.y, self.y - t * self.at))
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.arange(len(order))
+        return ranks
+
+    def below(self, t: float) -> int:
+        """How many slopes are below t, but for doubtful ones."""
+        return _inversions(self._ranked(t))
+
+    def between(self, low: float, high: float) -> np.ndarray:
+        """The slopes of a little more than [low, high]."""
+        low, high = low - 2 * self.doubt(low), high + 2 * self.doubt(high)
+        first = np.argsort(self._ranked(low))
+        i, j = (first[k] for k in _inversions(self._ranked(high)[first], listed=True))
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        dx = self.x[j] - self.x[i]
+        return (self.y[j] - self.y[i])[dx != 0] / dx[dx != 0]
+
+    def some(self, low: float, high: float, rng: np.random.Generator) -> np.ndarray:
+        """Slopes of random pairs in (low, high), sorted."""
+        found, n = [], len(self.x)
+        for _ in range(8):
+            i, j = rng.integers(0, n, (2, 1 << 20))
+            dx = self.x[j] - self.x[i]
+            s = (self.y[j] - self.y[i])[dx != 0] / dx[dx != 0]
+            found.append(s[(s > low) & (s < high)])
+            if sum(map(len, found)) >= 20_000:
                 break
-            if low == high:
-                found[rank] = float(low)
+        return np.sort(np.concatenate(found))
+
+    def bracket(self, rank: int, total: int) -> tuple[float, float, int, int]:
+        """(low, high, slopes below low, slopes below high) around a rank, small enough to be listed where possible."""
+        rng = np.random.default_rng(rank)
+        low, high, under, upto = -self.most, self.most, 0, total
+        while upto - under > LISTED:
+            s = self.some(low, high, rng)
+            if len(s) < 100:
                 break
-            edges = np.unique(np.linspace(low, high, 4097))
-            if len(edges) < 3:
-                edges = np.array([low, high, np.nextafter(high, math.inf)])
-            count = np.zeros(len(edges), np.int64)
-            for s in _slope_parts(x, y):
-                s = s[(s >= low) & (s <= high)]
-                count += np.bincount(np.searchsorted(edges, s, side="right") - 1, minlength=len(edges))
-            upto = before + np.cumsum(count)
-            k = int(np.searchsorted(upto, rank, side="right"))
-            before, lo = int(upto[k] - count[k]), float(edges[k])
-            hi = float(edges[k + 1]) if k + 1 < len(edges) else float(np.nextafter(high, math.inf))
+            at, reach = (rank - under) / (upto - under) * len(s), 3 * math.sqrt(len(s))
+            ends = []
+            for place, side in ((at - reach, -1), (at + reach, 1)):
+                if not 0 <= place < len(s):
+                    ends.append(low if side < 0 else high)
+                    continue
+                t = s[int(place)]
+                ends.append(t + side * 4 * self.doubt(t))  # past the slopes that equal it
+            counts = [under if ends[0] == low else self.below(ends[0]), upto if ends[1] == high else self.below(ends[1])]
+            before = upto - under
+            if counts[0] <= rank < counts[1]:
+                low, high, under, upto = *ends, *counts
+            elif rank < counts[0] and ends[0] > low:
+                high, upto = ends[0], counts[0]
+            elif ends[1] < high:
+                low, under = ends[1], counts[1]
+            if upto - under > 0.9 * before:
+                break  # many equal slopes
+        return low, high, under, upto
+
+
+def _slopes_at(x: np.ndarray, y: np.ndarray, ranks: list[int]) -> list[float]:
+    """The slopes of the given 0-based ranks among all pairs, as they come from real pairs."""
+    n = len(x)
+    if n * (n - 1) // 2 <= LISTED:
+        listed = np.sort(np.concatenate(list(_slope_parts(x, y))))
+        return [float(listed[r]) for r in ranks]
+    slopes, found = _Slopes(x, y), {}
+    ties = _tie_sizes(x)
+    total = n * (n - 1) // 2 - int((ties * (ties - 1)).sum() // 2)
+    for rank in sorted(set(ranks)):
+        low, high, under, upto = slopes.bracket(rank, total)
+        value = None
+        if upto - under <= 2 * LISTED and math.isfinite(slopes.most):
+            # a place between listed slopes, below the wanted one, near which no slope is: there the count is exact
+            s = np.sort(slopes.between(low, high))
+            wide = np.flatnonzero(np.diff(s) > 4 * slopes.doubt(max(abs(low), abs(high)))) + 1
+            wide = wide[(s[wide] > low) & (wide <= np.searchsorted(s, low) + max(rank - under, 0))]
+            if under == 0:
+                value = float(s[rank]) if rank < len(s) and s[rank] < high else None
+            elif len(wide):
+                a = int(wide[-1])
+                at = a + rank - slopes.below((s[a - 1] + s[a]) / 2)
+                value = float(s[at]) if a <= at < len(s) and s[at] < high else None
+        found[rank] = _by_bins(x, y, rank) if value is None else value
     return [found[r] for r in ranks]
 
 
+def _by_bins(x: np.ndarray, y: np.ndarray, rank: int) -> float:
+    """The slope of a rank by counting all slopes in bins, and the bin that holds it again, until it can be listed."""
+    lo, hi, before = -math.inf, math.inf, 0  # the slope is in [lo, hi); before: slopes under lo
+    while True:
+        parts, size, low, high = [], 0, math.inf, -math.inf
+        for s in _slope_parts(x, y):
+            s = s[(s >= lo) & (s < hi)] if math.isfinite(hi) or math.isfinite(lo) else s
+            if len(s):
+                size, low, high = size + len(s), min(low, s.min()), max(high, s.max())
+                if size <= LISTED:
+                    parts.append(s)
+        if size <= LISTED:
+            return float(np.sort(np.concatenate(parts))[rank - before])
+        if low == high:
+            return float(low)
+        edges = np.unique(np.linspace(low, high, 4097))
+        if len(edges) < 3:
+            edges = np.array([low, high, np.nextafter(high, math.inf)])
+        count = np.zeros(len(edges), np.int64)
+        for s in _slope_parts(x, y):
+            s = s[(s >= low) & (s <= high)]
+            count += np.bincount(np.searchsorted(edges, s, side="right") - 1, minlength=len(edges))
+        upto = before + np.cumsum(count)
+        k = int(np.searchsorted(upto, rank, side="right"))
+        before, lo = int(upto[k] - count[k]), float(edges[k])
+        hi = float(edges[k + 1]) if k + 1 < len(edges) else float(np.nextafter(high, math.inf))
+
+
 def _theil_sen(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[float, float, float]:
     n = len(x)
     xt, yt = _tie_sizes(x), _tie_sizes(y)

@@ -113,6 +113,40 @@ def test_bounded_listing_gives_the_same_bits(monkeypatch, n, listed):
     assert trend._slopes_at(x, y, ranks) == [want[k] for k in ranks]
 
 
+@pytest.mark.parametrize("kind", ["noise", "walk", "tied x", "irregular", "clock", "grid"])
+def test_slope_ranks_equal_brute_force(monkeypatch, kind):
+    """Ranks come from inversion counts and short lists; values are those of real pairs, to the bit."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(trend, "LISTED", 3000)
+    for n in (3, 80, 400, 3000):
+        x = {"tied x": rng.integers(0, max(n // 3, 2), n) * 1.0, "irregular": np.sort(rng.normal(size=n)),
+             "clock": 1.7e9 + np.arange(n)}.get(kind, np.arange(n) * 1.0)
+        y = {"walk": rng.normal(size=n).cumsum(), "grid": rng.integers(0, 5, n) * 1.0}.get(kind, rng.normal(size=n))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        want = all_slopes(x, y)
+        ranks = sorted({0, len(want) // 3, (len(want) - 1) // 2, len(want) // 2, len(want) - 1}) if len(want) else []
+        assert trend._slopes_at(x, y, ranks) == [want[k] for k in ranks], (kind, n)
+
+
+def test_long_series_need_no_pass_over_all_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(trend, "_slope_parts", None)  # would look at every pair
+    n = 30_000
+    x, y = np.arange(n) * 1.0, 0.25 * np.arange(n) + rng.normal(size=n).cumsum()
+    slope, low, high = trend._theil_sen(x, y, 0.95)
+    assert low < slope < high and slope == pytest.approx(np.polyfit(x, y, 1)[0], rel=0.05)
+
+
+def test_inversions_are_counted_and_listed():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 9, 64, 200):
+        v = rng.integers(0, 12, n)
+        want = sorted((i, j) for i in range(n) for j in range(i + 1, n) if v[i] > v[j])
+        i, j = trend._inversions(v, listed=True)
+        assert sorted(zip(i.tolist(), j.tolist())) == want and trend._inversions(v) == len(want)
+
+
 def test_bootstrap_against_refits(spark):
     """Every replicate equals a least-squares refit of fitted plus resampled residuals."""
     values = [3.0, 2.5, 2.7, 1.9, 2.2, 1.1, 1.4, 0.2]
