@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstats.functions.scalar import nan_to_null, pearson
-from panelstats.operators.distribution import distribution, ranks_within
+from panelstats.operators.distribution import distribution, ranks_of_counts
 
 
 def avg_rank(value: str, by: Sequence[str]) -> Column:
@@ -36,13 +36,8 @@ def correlate_pairs(pairs: DataFrame, by: Sequence[str], long_series: bool = Fal
     """
     complete = _complete_pairs(pairs)
     if long_series:
-        rx = ranks_within(complete, by, "x").withColumnRenamed("avg_rank", "rx")
-        ry = ranks_within(complete, by, "y").withColumnRenamed("avg_rank", "ry")
-        ranked = complete.join(rx, [*by, "x"]).join(ry, [*by, "y"])
-    else:
-        ranked = complete.select(
-            *by, "x", "y", avg_rank("x", by).alias("rx"), avg_rank("y", by).alias("ry")
-        )
+        return _correlate_reduced(complete, by)
+    ranked = complete.select(*by, "x", "y", avg_rank("x", by).alias("rx"), avg_rank("y", by).alias("ry"))
     return ranked.groupBy(*by).agg(
         F.count("*").alias("n"),
         pearson("x", "y").alias("pearson_r"),
@@ -50,6 +45,43 @@ def correlate_pairs(pairs: DataFrame, by: Sequence[str], long_series: bool = Fal
     )
 
 
+def _correlate_reduced(complete: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Correlations from one reduction of the pairs to (by, x, y, count).
+
+    Ranks are attached to the distinct values of either side and joined to the reduced pairs,
+    never to facts. Sums are of distances from the means, so large offsets lose no digits.
+    """
+    reduced = complete.groupBy(*by, "x", "y").agg(F.count("*").alias("_w"))
+    w = F.col("_w")
+    sides = []
+    for side in ("x", "y"):
+        counts = reduced.groupBy(*by, F.col(side).alias("_v")).agg(F.sum("_w").alias("_c"))
+        sides.append(ranks_of_counts(counts, by).select(*by, F.col("_v").alias(side), F.col("avg_rank").alias(f"r{side}")))
+    middle = reduced.groupBy(*by).agg(
+        F.sum("_w").alias("n"), (F.sum(w * F.col("x")) / F.sum("_w")).alias("_mx"), (F.sum(w * F.col("y")) / F.sum("_w")).alias("_my"))
+    ranked = reduced.join(sides[0], [*by, "x"]).join(sides[1], [*by, "y"])
+    # without groups the means are a single row
+    if by:
+        ranked = ranked.join(middle, list(by))
+    else:
+        ranked = ranked.withColumn("_one", F.lit(1)).join(middle.withColumn("_one", F.lit(1)), "_one")
+    mid = (F.col("n") + 1) / 2
+
+    # whether a side varies is told by its extremes: a mean of equal values need not equal them to the last bit
+    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+
+    def r(a: Column, b: Column) -> Column:
+        ab, aa, bb = F.sum(w * a * b), F.sum(w * a * a), F.sum(w * b * b)
+        bounded = F.least(F.greatest(F.try_divide(ab, F.sqrt(aa) * F.sqrt(bb)), F.lit(-1.0)), F.lit(1.0))
+        return F.when(varies, bounded)
+
+    return ranked.groupBy(*by).agg(
+        F.first("n").alias("n"),
+        r(F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")).alias("pearson_r"),
+        r(F.col("rx") - mid, F.col("ry") - mid).alias("spearman_rho"),
+    )
+
+
 def correlate(
     df: DataFrame, by: Sequence[str], target: str, variables: Sequence[str], long_series: bool = False
 ) -> DataFrame:

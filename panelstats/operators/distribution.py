@@ -5,9 +5,9 @@ values meet already on the map side and a hot group spreads over its values.
 A value's magnitude bucket (octave plus leading fraction bits) is monotone in
 the value, so ranks resolve in two short steps: a running count over the
 occupied buckets of a group, then a running count inside just the few buckets
-that hold a wanted rank. A bucket spans 1/4096 of an octave; one that is looked into is
-cut twice more, each time into 8,192 parts between its own least and largest value, and
-only the part that holds the rank goes on. A double has 52 fraction bits, so what is left
+that hold a wanted rank. A bucket spans 1/4096 of an octave; one that is looked into and
+has more than LISTED different values is cut twice more, each time into 8,192 parts between
+its own least and largest value, and only the part that holds the rank goes on. A double has 52 fraction bits, so what is left
 in the end holds some 16,000 different values at most, whatever the data: clock readings
 of a few days spread like any other values.
 """
@@ -23,6 +23,7 @@ QUARTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 LOWEST_OCTAVE = -1100
 MISSING = -(1 << 62)  # bucket of missing values, below every other
 PARTS, CUTS = 1 << 13, 2  # parts of a bucket, and how often it is cut
+LISTED = 1 << 14  # different values of a bucket that may meet in one task
 
 
 def _octave(a: Column) -> Column:
@@ -95,27 +96,37 @@ def _part() -> Column:
     return F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * PARTS), F.lit(0))
 
 
-def narrowed(rows: DataFrame, keys: Sequence[str], wanted=None) -> tuple[DataFrame, list[str]]:
-    """Rows (keys, _v, _c, _lo, _hi, _before) in parts cut ``CUTS`` times, and the keys of a part.
+def narrowed(rows: DataFrame, keys: Sequence[str], wanted=None, carried: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Rows (keys, _v, _c, _d, _lo, _hi, _before) in parts, and the keys of a part.
 
-    _before is the running count ahead of the part. ``wanted(before, upto)`` says which parts are looked into, all if
-    it is missing. Parts are summed on the map side, so a large bucket spreads over its parts.
+    Keys with more than ``LISTED`` different values (_d) are cut ``CUTS`` times, the others are one part. _before is the
+    running count ahead of the part. ``wanted(before, upto)`` says which parts are looked into, all if it is missing.
+    Parts are summed on the map side, so a large bucket spreads over its parts. Where nothing is large, adaptive
+    execution finds the cutting branch empty and leaves it out; naming the ``carried`` columns in it lets both branches
+    read one exchange.
     """
-    keys = list(keys)
+    names = [f"_part{level}" for level in range(CUTS)]
+    few = rows.where(F.col("_d") <= LISTED).drop("_d", "_lo", "_hi").withColumns({n: F.lit(0).cast("bigint") for n in names})
+    large = _cut(rows.where(F.col("_d") > LISTED).drop("_d"), list(keys), wanted, carried)
+    return few.unionByName(large), [*keys, *names]
+
+
+def _cut(rows: DataFrame, keys: list[str], wanted, carried: Sequence[str]) -> DataFrame:
     for level in range(CUTS):
         name = f"_part{level}"
         rows = rows.withColumn(name, _part()).drop("_lo", "_hi")
         parts = rows.groupBy(*keys, name).agg(
             F.sum("_c").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-            F.first("_before").alias("_before"), *([F.first("_n").alias("_n")] if wanted else []))
+            F.first("_before").alias("_before"), *([F.first("_n").alias("_n")] if wanted else []),
+            *[F.first(c).alias(f"_{c}_read") for c in carried])
         run = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
         parts = parts.withColumn("_upto", F.col("_before") + F.sum("_sum").over(run))
         parts = parts.withColumn("_before", F.col("_upto") - F.col("_sum"))
         if wanted:
             parts = parts.where(wanted(F.col("_before"), F.col("_upto"))).drop("_n")
         keys.append(name)
-        rows = rows.drop("_before").join(parts.drop("_upto", "_sum"), keys)
-    return rows.drop("_lo", "_hi"), keys
+        rows = rows.drop("_before").join(parts.drop("_upto", "_sum", *[f"_{c}_read" for c in carried]), keys)
+    return rows.drop("_lo", "_hi")
 
 
 def distribution(
@@ -131,13 +142,23 @@ def distribution(
     Columns: n_rows, n, sum, mean, sd, min, max, n_zero, n_negative, one per
     quantile (linear interpolation), one per carried expression.
     """
+    return distribution_of_counts(value_counts(df, by, values, carry), [*by, "variable"], quantiles, carry, bits)
+
+
+def distribution_of_counts(
+    counts: DataFrame,
+    group: Sequence[str],
+    quantiles: Mapping[str, float] | None = None,
+    carry: Mapping[str, tuple[str, Column]] | None = None,
+    bits: int = 12,
+) -> DataFrame:
+    """As ``distribution``, of rows (group, _v, _c and the carried columns); a value may come in several rows."""
     quantiles = QUARTILES if quantiles is None else dict(quantiles)
     carry = dict(carry or {})
-    group = [*by, "variable"]
     # named once and read several times, so that the generated code stays short
     octave = F.col("_octave")
     bucket = F.coalesce(magnitude_bucket("_v", bits, octave), F.lit(MISSING))
-    counts = value_counts(df, by, values, carry).withColumn("_octave", _octave(F.abs("_v"))).withColumn("_bucket", bucket)
+    counts = counts.withColumn("_octave", _octave(F.abs("_v"))).withColumn("_bucket", bucket)
 
     v, c, off = F.col("_v"), F.col("_c"), F.col("_off")
     anchored = counts.withColumn("_anchor", _anchor(v, bits, octave)).withColumn("_off", v - F.col("_anchor"))
@@ -145,6 +166,7 @@ def distribution(
     carried = lambda: [merge[kind](name).alias(name) for name, (kind, _) in carry.items()]
     hist = anchored.groupBy(*group, "_bucket").agg(
         F.sum("_c").alias("_c"),
+        F.count("*").alias("_d"),
         F.sum(c * v).alias("_s"),
         F.first("_anchor").alias("_at"),
         F.sum(c * off).alias("_d1"),
@@ -185,7 +207,7 @@ def distribution(
 
     ahead = F.col("_upto") - F.col("_c")
     looked_into = (F.col("_n") == 0) | (here & wanted(ahead, F.col("_upto")))
-    mark = F.struct("_bucket", ahead.alias("_before"), "_lo", "_hi")
+    mark = F.struct("_bucket", ahead.alias("_before"), "_d", "_lo", "_hi")
     stats = hist.groupBy(*group).agg(
         F.sum("_c").alias("n_rows"),
         F.max("_n").alias("n"),
@@ -208,7 +230,7 @@ def distribution(
         return stats
     names = [x for x in stats.columns if x not in (*group, "_marks")]
     marks = stats.select(*group, F.col("n").alias("_n"), F.struct(*names).alias("_stats"), F.inline("_marks"))
-    near, keys = narrowed(counts.drop("_octave").join(marks, [*group, "_bucket"]), [*group, "_bucket"], wanted)
+    near, keys = narrowed(counts.drop("_octave").join(marks, [*group, "_bucket"]), [*group, "_bucket"], wanted, list(carry))
     inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
     picks = []
@@ -228,12 +250,18 @@ def ranks_within(df: DataFrame, by: Sequence[str], value: str, bits: int = 12) -
     """(by, value, avg_rank): tie-averaged ranks for groups too large for one window."""
     known = present(df, [*by, value]).select(*by, F.col(value).cast("double").alias("_v"))
     counts = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    return ranks_of_counts(counts, by, bits).withColumnRenamed("_v", value)
+
+
+def ranks_of_counts(counts: DataFrame, by: Sequence[str], bits: int = 12) -> DataFrame:
+    """(by, _v, avg_rank) of rows (by, _v, _c) with each value once in its group."""
     counts = counts.withColumn("_bucket", F.coalesce(magnitude_bucket("_v", bits), F.lit(MISSING)))
-    hist = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    hist = counts.groupBy(*by, "_bucket").agg(
+        F.sum("_c").alias("_bc"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     run = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_before", F.sum("_bc").over(run) - F.col("_bc")).drop("_bc")
     near, keys = narrowed(counts.join(hist, [*by, "_bucket"]), [*by, "_bucket"])
     inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_c").over(inside)
     return near.withColumn("_upto", upto).select(
-        *by, F.col("_v").alias(value), (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"))
+        *by, "_v", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"))

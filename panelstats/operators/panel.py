@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstats.functions.scalar import is_finite, percent_change, standard_error
-from panelstats.operators.distribution import distribution
+from panelstats.operators.distribution import distribution, distribution_of_counts, value_counts
 from panelstats.operators.joins import restrict_to_keys
 
 
@@ -40,16 +40,18 @@ def mark_balanced(df: DataFrame, key: Sequence[str], period: str, n_periods: int
     return df.join(keys, list(key), "left").withColumn("balanced", F.coalesce("balanced", F.lit(False)))
 
 
-def annual_summary(df: DataFrame, by: Sequence[str], value: str, support: str) -> DataFrame:
-    """Per group: rows, exact mean, median, sd, spatial se, mean support, weighted mean."""
+def _support_sums(value: str, support: str) -> dict[str, tuple[str, Column]]:
     v, w = F.col(value).cast("double"), F.col(support).cast("double")
     ok = is_finite(v) & is_finite(w) & (w > 0)
-    stats = distribution(df, by, [value], {"median": 0.5}, carry={
+    return {
         "support_sum": ("sum", w),
         "support_n": ("sum", w.isNotNull().cast("bigint")),
         "weight_sum": ("sum", F.when(ok, w)),
         "weighted_sum": ("sum", F.when(ok, v * w)),
-    })
+    }
+
+
+def _annual_columns(stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return stats.select(
         *by,
         F.col("n_rows").alias("n"),
@@ -62,15 +64,29 @@ def annual_summary(df: DataFrame, by: Sequence[str], value: str, support: str) -
     )
 
 
+def annual_summary(df: DataFrame, by: Sequence[str], value: str, support: str) -> DataFrame:
+    """Per group: rows, exact mean, median, sd, spatial se, mean support, weighted mean."""
+    stats = distribution(df, by, [value], {"median": 0.5}, carry=_support_sums(value, support))
+    return _annual_columns(stats, by)
+
+
 def population_summary(
     df: DataFrame, by: Sequence[str], value: str, support: str, populations: Mapping[str, Column]
 ) -> DataFrame:
-    """annual_summary for overlapping populations (name -> row condition) in one pass."""
-    members = F.array_compact(
-        F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in populations.items()])
-    )
-    long = df.select(*by, value, support, F.explode(members).alias("population"))
-    return annual_summary(long, [*by, "population"], value, support)
+    """annual_summary for overlapping populations (name -> row condition) in one pass.
+
+    Facts are reduced once, by the set of populations they are in; only the reduced rows are
+    repeated for each population.
+    """
+    inside = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << k)).otherwise(0) for k, c in enumerate(populations.values())]
+    masked = df.withColumn("_mask", sum(inside[1:], inside[0]))
+    carry = _support_sums(value, support)
+    counts = value_counts(masked.where("_mask <> 0"), [*by, "_mask"], [value], carry)
+    members = F.array_compact(F.array(*[
+        F.when(F.col("_mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, name in enumerate(populations)]))
+    repeated = counts.withColumn("population", F.explode(members)).drop("_mask")
+    group = [*by, "population"]
+    return _annual_columns(distribution_of_counts(repeated, [*group, "variable"], {"median": 0.5}, carry), group)
 
 
 def annual_table(

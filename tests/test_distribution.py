@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panelstats.operators import distribution as distribution_module
 from panelstats.operators.distribution import distribution, magnitude_bucket, narrowed, ranks_within
 
 PROBS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -101,7 +102,7 @@ def test_one_bucket_holds_all(spark):
     assert df.select(magnitude_bucket("v")).distinct().count() < 10
     values = 1.7e9 + np.arange(count)
     check(distribution(df, ["g"], ["v"]).first(), values, sd_tol=1e-8)
-    rows = df.select("g", F.col("v").alias("_v"), F.lit(1).alias("_c"), F.lit(0).alias("_before"),
+    rows = df.select("g", F.col("v").alias("_v"), F.lit(1).alias("_c"), F.lit(0).alias("_before"), F.lit(count).alias("_d"),
                      F.lit(1.7e9).alias("_lo"), F.lit(1.7e9 + count - 1).alias("_hi"))
     near, keys = narrowed(rows, ["g"])
     assert max(r["count"] for r in near.groupBy(*keys).count().collect()) <= 0.02 * count
@@ -110,8 +111,10 @@ def test_one_bucket_holds_all(spark):
     assert ranked.where("avg_rank <> v - 1.7e9 + 1").count() == 0 and ranked.count() == count
 
 
-def test_doubles_next_to_each_other(spark):
-    """Neighbouring doubles, and clusters on many scales, keep their ranks through all cuts."""
+@pytest.mark.parametrize("listed", [distribution_module.LISTED, 0, 3])
+def test_doubles_next_to_each_other(spark, monkeypatch, listed):
+    """Neighbouring doubles, and clusters on many scales, keep their ranks with and without cuts."""
+    monkeypatch.setattr(distribution_module, "LISTED", listed)
     rng = np.random.default_rng(2)
     values = np.concatenate([1.0 + np.arange(300) * 2.0 ** -52, 1.0 + 2.0 ** -rng.uniform(10, 52, 700), [1.0] * 5,
                              -1.0 - np.arange(50) * 2.0 ** -40])

@@ -246,3 +246,22 @@ def test_constant_sides_give_missing(spark):
     same_x = spark.createDataFrame([("s", 1, float(i)) for i in range(4)], "series string, year int, value double")
     t = trend.trend_table(same_x, ["series"], "year", "value").first()
     assert t.n == 4 and t.ols_slope is None and t.kendall_tau is None and t.theil_sen_slope is None
+
+
+def test_long_series_reduce_once(spark):
+    """Ties, large offsets and constant sides; equal to the windowed form and to numpy."""
+    rng = np.random.default_rng(8)
+    x = 1.7e9 + rng.integers(0, 40, 3000)
+    y = 0.1 * (x - 1.7e9) + rng.integers(0, 5, 3000)
+    df = spark.createDataFrame([(1, float(a), float(b), 0.1) for a, b in zip(x, y)], "g int, x double, y double, flat double")
+    long = {r.variable: r for r in correlation.correlate(df, ["g"], "y", ["x", "flat"], True).collect()}
+    short = {r.variable: r for r in correlation.correlate(df, ["g"], "y", ["x", "flat"]).collect()}
+    assert long["x"].n == 3000 and long["x"].pearson_r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+    assert long["x"].spearman_rho == pytest.approx(short["x"].spearman_rho, abs=1e-12)
+    assert long["flat"].pearson_r is None and long["flat"].spearman_rho is None
+
+
+def test_long_series_without_groups(spark):
+    pairs = spark.createDataFrame([(float(k), float(k * k)) for k in range(9)], "x double, y double")
+    row = correlation.correlate_pairs(pairs, [], True).first()
+    assert (row.n, row.spearman_rho) == (9, pytest.approx(1.0))
