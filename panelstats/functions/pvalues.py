@@ -7,6 +7,7 @@ there are periods, so the arrays handed over are short.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -94,14 +95,19 @@ def kendall_exact(n: int, discordant: int) -> float:
 
 def kendall_normal(score: float, n: int, x_ties: np.ndarray, y_ties: np.ndarray) -> float:
     """Two-sided p from the tie-corrected normal approximation."""
+    sums = lambda t: [
+        float((t * (t - 1)).sum()) / 2, float((t * (t - 1) * (t - 2)).sum()), float((t * (t - 1) * (2 * t + 5)).sum())]
+    return kendall_p_of_sums(score, n, sums(x_ties), sums(y_ties))
+
+
+def kendall_p_of_sums(score: float, n: int, x: Sequence[float], y: Sequence[float]) -> float:
+    """The same from sums over the sizes t of ties of either side: t(t-1)/2, t(t-1)(t-2), t(t-1)(2t+5)."""
     m = n * (n - 1.0)
-    pairs = lambda t: float((t * (t - 1)).sum()) / 2
-    triples = lambda t: float((t * (t - 1) * (t - 2)).sum())
-    weights = lambda t: float((t * (t - 1) * (2 * t + 5)).sum())
-    var = (m * (2 * n + 5) - weights(x_ties) - weights(y_ties)) / 18
-    var += 2 * pairs(x_ties) * pairs(y_ties) / m
+    if not m:
+        return math.nan
+    var = (m * (2 * n + 5) - x[2] - y[2]) / 18 + 2 * x[0] * y[0] / m
     if n > 2:
-        var += triples(x_ties) * triples(y_ties) / (9 * m * (n - 2))
+        var += x[1] * y[1] / (9 * m * (n - 2))
     if var <= 0:
         return math.nan
     return math.erfc(abs(score) / math.sqrt(var) / math.sqrt(2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelstats.operators import bootstrap, correlation, trend
+from panelstats.operators import bootstrap, correlation, rank_trend, trend
 from panelstats.session import materialise
 from panelstats.workload.common import (
     BRAND_MONTHS, EVENT_WIDE, Query, brand_months, event_wide, shape, shaped, table,
@@ -53,6 +53,14 @@ def run_bootstrap(spark, folder):
     return shape(bootstrap.block_bootstrap(brand_months(spark, folder), ["brand"], "m", "y", n_boot=20_000))
 
 
+def run_kendall_raw(spark, folder):
+    """Raw events, a series as long as its events: hours against values, both with ties."""
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    e = table(spark, folder, "events").select("event_type", hour.alias("hour"), "value")
+    out = rank_trend.kendall_long(e, ["event_type"], "hour", "value")
+    return shape(out.select("event_type", "n", "discordant", "score", "kendall_tau"))
+
+
 # ---- correlations ----------------------------------------------------------------
 
 def run_corr_contemporaneous(spark, folder):
@@ -237,6 +245,15 @@ QUERIES = {
         SELECT brand, count(*) AS n, corr(before, residual) AS lag1,
           sum((residual - before) * (residual - before)) / sum(residual * residual) AS durbin_watson
         FROM steps GROUP BY 1""", real="lag1 durbin_watson")),
+    "kendall_raw": Query(run_kendall_raw, shaped("""WITH e AS (
+          SELECT event_type, floor(epoch(ts) / 3600) AS h, value, row_number() OVER () AS r FROM events),
+        sizes AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1),
+        pairs AS (
+          SELECT a.event_type, sign(b.h - a.h) * sign(b.value - a.value) AS s, a.h = b.h AS x_tie, a.value = b.value AS y_tie
+          FROM e a JOIN e b ON a.event_type = b.event_type AND a.r < b.r) --final
+        SELECT event_type, any_value(n) AS n, count(*) FILTER (s < 0) AS discordant, CAST(sum(s) AS BIGINT) AS score,
+          sum(s) / (sqrt(count(*) FILTER (NOT x_tie)) * sqrt(count(*) FILTER (NOT y_tie))) AS kendall_tau
+        FROM pairs JOIN sizes USING (event_type) GROUP BY 1""", real="kendall_tau", ints="n discordant score")),
     "block_bootstrap": Query(run_bootstrap, shaped(f"""WITH {BRAND_MONTHS},
         line AS (SELECT *, y - (regr_intercept(y, m) OVER s + regr_slope(y, m) OVER s * m) AS raw FROM brand_months WINDOW s AS (PARTITION BY brand)),
         series AS (
