@@ -6,6 +6,7 @@ rows than there are days.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +18,9 @@ from panelstats.functions.scalar import nan_to_null, pearson
 from panelstats.operators.distribution import distribution, ranks_of_counts
 
 
+SENSORS_PER_TILE = 512
+
+
 def avg_rank(value: str, by: Sequence[str]) -> Column:
     """Tie-averaged rank inside the group."""
     ordered = Window.partitionBy(*by).orderBy(value)
@@ -181,17 +185,24 @@ def _block_products(by: Sequence[str], entity: str):
     return kernel
 
 
+def tiles_for(df: DataFrame, entity: str, sensors_per_tile: int = SENSORS_PER_TILE) -> int:
+    """How many tiles the sensors of a table are dealt to, so that one holds about ``sensors_per_tile``; counts them."""
+    n = df.select(entity).where(F.col(entity).isNotNull()).distinct().count()
+    return max(1, math.ceil(n / sensors_per_tile))
+
+
 def correlation_matrix(
     df: DataFrame, by: Sequence[str], date: str, entity: str, value: str,
-    block_days: int = 64, tiles: int = 1,
+    block_days: int = 64, tiles: int | None = None, sensors_per_tile: int = SENSORS_PER_TILE,
 ) -> DataFrame:
     """Long pairwise-complete Pearson matrix (by, a, b, n, r) with a < b.
 
-    Dates are cut into blocks; a block yields one row of sums per sensor pair, and
-    the blocks' sums are added. With ``tiles`` the sensors are split as well, so a
-    task holds two tiles of sensors at a time. Repeated readings of a sensor and
-    date are averaged.
+    Dates are cut into blocks and sensors into tiles; a block of dates and a pair of tiles
+    yields one row of sums per sensor pair, and the blocks' sums are added. A task holds two
+    tiles of sensors at a time. Without ``tiles`` their number follows from that of the
+    sensors, which are counted first. Repeated readings of a sensor and date are averaged.
     """
+    tiles = tiles_for(df, entity, sensors_per_tile) if tiles is None else tiles
     daily = df.dropna(subset=[*by, date, entity]).groupBy(*by, date, entity).agg(
         F.avg(F.col(value).cast("double")).alias("v")
     )

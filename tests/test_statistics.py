@@ -265,3 +265,16 @@ def test_long_series_without_groups(spark):
     pairs = spark.createDataFrame([(float(k), float(k * k)) for k in range(9)], "x double, y double")
     row = correlation.correlate_pairs(pairs, [], True).first()
     assert (row.n, row.spearman_rho) == (9, pytest.approx(1.0))
+
+
+def test_tiles_follow_from_the_sensors(spark):
+    """More sensors than a tile holds: dealt to several, with the same matrix as numpy's."""
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=(12, 150)).cumsum(axis=0)
+    rows = [(1, f"2024-01-{d + 1:02d}", f"s{k:03d}", float(values[d, k])) for d in range(12) for k in range(150)]
+    df = spark.createDataFrame(rows, "g int, day string, sensor string, v double").withColumn("day", F.to_date("day"))
+    assert [correlation.tiles_for(df, "sensor", size) for size in (512, 150, 149, 40, 1)] == [1, 1, 2, 4, 150]
+    out = correlation.correlation_matrix(df, ["g"], "day", "sensor", "v", sensors_per_tile=40).collect()
+    want = np.corrcoef(values.T)
+    assert len(out) == 150 * 149 // 2
+    assert all(r.r == pytest.approx(want[int(r.a[1:]), int(r.b[1:])], abs=1e-9) and r.n == 12 for r in out)
