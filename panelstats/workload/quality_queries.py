@@ -90,6 +90,33 @@ def run_completeness(spark, folder):
     return shape(filled)
 
 
+def _gappy_panel(spark, folder):
+    """The panel with units, years, areas and values missing by rules on the row."""
+    line = table(spark, folder, "lineitem")
+    gone = lambda rule, c: F.when(~F.expr(rule), F.col(c))
+    return line.withColumn("y", F.year("l_shipdate")).select(
+        gone("l_partkey % 10 = 3", "l_partkey").alias("unit"), gone("l_suppkey % 7 = 2", "y").alias("year"),
+        gone("l_tax = 0", "l_discount").alias("value"), F.col("l_linenumber").alias("support"),
+        gone("l_returnflag = 'A' AND l_linenumber = 1", "l_returnflag").alias("area"))
+
+
+_GAPPY = """
+gappy AS (
+  SELECT CASE WHEN NOT l_partkey % 10 = 3 THEN l_partkey END AS unit, CASE WHEN NOT l_suppkey % 7 = 2 THEN year(l_shipdate) END AS year,
+    CASE WHEN NOT l_tax = 0 THEN l_discount END AS value, l_linenumber AS support,
+    CASE WHEN NOT (l_returnflag = 'A' AND l_linenumber = 1) THEN l_returnflag END AS area FROM lineitem),
+known AS (SELECT * FROM gappy WHERE unit IS NOT NULL AND year IS NOT NULL)"""
+
+
+def run_qa_missing(spark, folder):
+    """Whole-table QA where identity is missing in a part of the rows."""
+    return shape(quality.qa_summary(_gappy_panel(spark, folder), ["unit"], "year", "area", "value", "support", digits=8), 8)
+
+
+def run_completeness_missing(spark, folder):
+    return shape(quality.completeness(_gappy_panel(spark, folder), ["unit"], "year", "area"))
+
+
 def run_unstable_keys(spark, folder):
     return shape(quality.unstable_keys(part_panel(spark, folder), ["unit"], "area"))
 
@@ -222,6 +249,24 @@ QUERIES = {
           count(*) - count(year) AS missing_year, count(*) - count(value) AS missing_value,
           count(*) - count(support) AS missing_support FROM panel""",
         ints="period_min period_max support_min support_max")),
+    "qa_missing": Query(run_qa_missing, shaped(f"""WITH {_GAPPY} --final
+        SELECT (SELECT count(*) FROM gappy) AS n_rows, min(year) AS period_min, max(year) AS period_max,
+          count(DISTINCT year) AS n_periods, count(DISTINCT unit) AS unique_keys, min(unit) AS unit_min, max(unit) AS unit_max,
+          count(*) - count(DISTINCT (unit, year)) AS duplicate_key_periods, any_value(g.areas) AS areas,
+          any_value(g.value_min) AS value_min, any_value(g.value_max) AS value_max, any_value(g.value_mean) AS value_mean,
+          any_value(g.support_min) AS support_min, any_value(g.support_max) AS support_max,
+          any_value(g.missing_unit) AS missing_unit, any_value(g.missing_area) AS missing_area,
+          any_value(g.missing_year) AS missing_year, any_value(g.missing_value) AS missing_value,
+          any_value(g.missing_support) AS missing_support
+        FROM known, (
+          SELECT string_agg(DISTINCT area, ',' ORDER BY area) AS areas, min(value) AS value_min, max(value) AS value_max,
+            round_even(avg(value), 8) AS value_mean, min(support) AS support_min, max(support) AS support_max,
+            count(*) - count(unit) AS missing_unit, count(*) - count(area) AS missing_area, count(*) - count(year) AS missing_year,
+            count(*) - count(value) AS missing_value, count(*) - count(support) AS missing_support FROM gappy) g""",
+        ints="period_min period_max support_min support_max")),
+    "completeness_missing": Query(run_completeness_missing, shaped(f"""WITH {_GAPPY} --final
+        SELECT year, count(unit) AS n_records, count(DISTINCT unit) AS n_keys, string_agg(DISTINCT area, ',' ORDER BY area) AS areas
+        FROM gappy WHERE year IS NOT NULL GROUP BY 1""", ints="year")),
     "completeness": Query(run_completeness, shaped(f"""WITH {PART_PANEL},
         c AS (SELECT year, count(*) AS r, count(DISTINCT unit) AS k, string_agg(DISTINCT area, ',' ORDER BY area) AS a
               FROM panel GROUP BY 1) --final
