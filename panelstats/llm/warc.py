@@ -11,6 +11,7 @@ the index, written once, names those that count.
 from __future__ import annotations
 
 import base64
+import math
 import struct
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ from panelstats.session import materialise, new_folder
 # fixed values of the seekable format: frame and footer marks, descriptor without checksums
 SKIPPABLE, SEEKABLE, PLAIN = 0x184D2A5E, 0x8F92EAB1, 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+STRETCH = 8  # frames that one task reads together
 INDEX = "page_id long, digest string, bundle string, frame long, offset long, length long"
 RECORD = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, "
           "payload string")
@@ -206,13 +208,17 @@ def _table(rows: list[tuple]):
     return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def read_bundles(index: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """All records of the bundles that the index names, read from the archives; payloads are checked by their digest."""
+def read_bundles(index: DataFrame, keep_payload: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
+    """All records of the bundles that the index names, read from the archives; payloads are checked by their digest.
+
+    Stretches of STRETCH frames are dealt to one task for every `task_bytes` of records, so the frames of one bundle are
+    read side by side, and tasks grow with the archives.
+    """
     def read(frames) -> Iterator:
         for frame in frames:
-            for uri in frame["bundle"]:
+            for uri, stretch in zip(frame["bundle"], frame["stretch"]):
                 bundle = Reader(uri)
-                for k in range(len(bundle.frames)):
+                for k in range(stretch * STRETCH, min((stretch + 1) * STRETCH, len(bundle.frames))):
                     data, at, rows = bundle.frame(k), 0, []
                     while at < len(data):
                         head, block, at = parse(data, at)
@@ -220,8 +226,11 @@ def read_bundles(index: DataFrame, keep_payload: bool = True) -> DataFrame:
                     yield _table(rows)
                 bundle.close()
 
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInPandas(read, RECORD)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    stretches = index.select("bundle", F.floor(F.col("frame") / STRETCH).alias("stretch")).distinct()
+    tasks = max(1, math.ceil(size / task_bytes))
+    # a number that is named is kept; left to the rows' few bytes, all would end in one task
+    return stretches.repartition(tasks, "bundle", "stretch").mapInPandas(read, RECORD)
 
 
 def look_up(index: DataFrame, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:

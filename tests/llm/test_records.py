@@ -184,6 +184,15 @@ def test_look_up_and_payloads(raw_pages, spark):
     assert {r["page_id"]: r["payload"] for r in found} == {5: "ü" * 50_000, 2: "<p>one</p>"}
 
 
+def test_frames_are_read_side_by_side(raw_pages, spark):
+    index = warc.write_bundles(raw_pages.coalesce(1), new_folder(spark, "warc"), frame_bytes=1)  # a frame for each record
+    assert index.select("bundle").distinct().count() == 1 and index.agg({"frame": "max"}).first()[0] > warc.STRETCH
+    for size in (1 << 30, 20_000):
+        frame = warc.read_bundles(index, task_bytes=size)
+        assert frame.rdd.getNumPartitions() == (1 if size > 1 << 20 else 1 + index.agg({"length": "sum"}).first()[0] // size)
+        assert sorted(r["page_id"] or -1 for r in frame.collect()) == sorted(r["page_id"] or -1 for r in raw_pages.collect())
+
+
 def test_bundles_are_plain_zstandard(raw_pages, spark):
     import io
 
