@@ -21,6 +21,7 @@ from panelstats.session import materialise
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
+COMMON = r"[a-z\x20\x09-\x0D]+"  # in no class and no symbol, and most of a text
 # fixed values: the classes of characters inside words; small letters and whatever is in none of them make the last
 CLASSES = {"capital": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()\-", "sign": r"#$%&*+/<=>@\[\\\]^_`{|}~", "beyond": "\\x{80}-\\x{10FFFF}"}
 PLACE_BITS = 24  # of a sort key; the rest of its bits are of a window's hash
@@ -117,14 +118,16 @@ def judge(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _language(lang_col).alias("lang"),
                        whole_text(text_col).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
-    cut = base.select("doc_id", "lang", "text", _words(F.col("text")).alias("w"), lines.alias("lines"))
+    # classes and symbols are counted in the little that is left without the common characters
+    cut = base.select("doc_id", "lang", _words(F.col("text")).alias("w"), lines.alias("lines"),
+                      F.regexp_replace("text", COMMON, "").alias("rest"))
     w, n = F.col("w"), F.col("n_words")
     classes = [F.col(f"c{k}") for k in range(len(CLASSES))]
     measured = cut.select(
         "doc_id", "lang", "w", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"),
-        F.length(F.regexp_replace("text", SYMBOLS, "")).alias("n_symbols"),
+        F.length(F.regexp_replace("rest", SYMBOLS, "")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        *[c.alias(f"c{k}") for k, c in enumerate(_class_counts(F.col("text")))])
+        *[c.alias(f"c{k}") for k, c in enumerate(_class_counts(F.col("rest")))])
     triples = lambda make: F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda a, k: make(
         a, F.get(w, k + 1), F.get(w, k + 2)))
     spelt = lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))
