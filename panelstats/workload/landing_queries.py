@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelstats.functions import scalar as S
 from panelstats.operators import correlation, quality
 from panelstats.session import new_folder
-from panelstats.sources import files, tables
+from panelstats.sources import cells, files, tables, workbooks
 from panelstats.workload.common import ORDER_DAYS, Query, order_days, shape, shaped, table
 
 KINDS = ["click", "error", "purchase", "signup", "view"]  # columns of the square form
@@ -45,6 +46,24 @@ def run_json_landing(spark, folder):
         F.count("*").alias("n"), F.max("c_custkey").alias("last_key"), F.sum("c_acctbal").alias("balance")), 2)
 
 
+FLOWS = ["date", "inflow", "outflow", "level"]
+
+
+def run_workbook_source(spark, folder):
+    """Daily tables landed as workbooks, one for each year with a sheet for each priority, and read back by sheet."""
+    path = new_folder(spark, "workbooks")
+    days = order_days(spark, folder)
+    place = [F.concat(F.lit("flows_"), "year", F.lit(".xlsx")).alias("workbook"), F.col("grp").alias("sheet")]
+    across = lambda text: F.inline(F.array(*[F.struct(F.lit(k + 1).alias("column"), text(c).alias("text")) for k, c in enumerate(FLOWS)]))
+    body = days.select(*place, (F.dayofyear("date") + 1).alias("row"), across(lambda c: F.col(c).cast("string")))
+    heads = days.select(*place).distinct().select("*", F.lit(1).alias("row"), across(F.lit))
+    workbooks.write_workbooks(body.unionByName(heads), path)
+    grid = workbooks.read_cells(spark, path)
+    back = cells.read_sheet(grid, None, 1, {c: k + 1 for k, c in enumerate(FLOWS)})
+    typed = tables.cast_strict(back, {c: "double" for c in FLOWS[1:]})
+    return shape(typed.select("workbook", F.col("sheet").alias("grp"), *FLOWS, S.net("inflow", "outflow").alias("net")))
+
+
 def run_matrix_square(spark, folder):
     days = table(spark, folder, "events").select(
         F.year("ts").alias("year"), F.to_date("ts").alias("date"), "value", F.col("event_type").alias("sensor"))
@@ -59,6 +78,9 @@ QUERIES = {
     "csv_multiline": Query(run_csv_multiline, "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"),
     "json_landing": Query(run_json_landing, shaped("""SELECT c_mktsegment, count(*) AS n, max(c_custkey) AS last_key,
         sum(c_acctbal) AS balance FROM customer GROUP BY 1""", real="balance", digits=2)),
+    "workbook_source": Query(run_workbook_source, shaped(f"""WITH {ORDER_DAYS} --final
+        SELECT 'flows_' || year || '.xlsx' AS workbook, grp, date, inflow, outflow, level, net FROM order_days""",
+        real="inflow outflow level net", dates="date")),
     "corr_matrix_square": Query(run_matrix_square, shaped("""WITH daily AS (
           SELECT year(ts) AS year, CAST(ts AS DATE) AS date, event_type AS sensor, avg(value) AS v FROM events GROUP BY 1, 2, 3),
         mat AS (SELECT p.year, p.sensor AS a, q.sensor AS b, CASE WHEN p.sensor = q.sensor THEN 1.0 ELSE corr(p.v, q.v) END AS r
