@@ -53,6 +53,46 @@ def test_token_counts(odd_docs, file, byte_level):
             assert np.frombuffer(r["prefix_table"], "<u4")[r["kept_bytes"] - 1] <= 16
 
 
+def test_stored_counts_answer_limits(spark, odd_docs, no_docs, file, byte_level):
+    limits = [0, 1, 7, 16, 16, 900]
+    stored = counts.store(odd_docs, file("byte_bpe_50k.json"))
+    got = counts.answer(stored, limits)
+    rows = got.collect()
+    assert len(rows) == len(limits) * odd_docs.count()
+    for limit in set(limits):
+        same = counts.prefix_counts(odd_docs, file("byte_bpe_50k.json"), limit).collect()
+        mine = [r for r in rows if r["limit"] == limit]
+        assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"], r["kept_bytes"]) for r in mine), key=repr) == \
+            sorted((tuple(r) for r in same for _ in range(limits.count(limit))), key=repr)
+    assert {r["step_bytes"] for r in stored.collect()} == {1}
+    assert counts.answer(stored, []).columns == got.columns and counts.answer(stored, []).count() == 0
+    none = counts.store(no_docs, file("byte_bpe_50k.json"))
+    assert counts.answer(none, [5]).count() == 0 and none.columns == stored.columns
+
+
+def test_stored_counts_answer_places(spark, file, byte_level):
+    from pyspark.sql import functions as F
+
+    texts = [*messy(9, 40, 25), "", None, "日本語 text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = counts.store(docs, file("byte_bpe_50k.json"))
+    got = counts.tokens_before(stored, F.sequence(F.lit(-1), F.col("n_bytes") + 1)).collect()
+    assert len(got) == sum(len((t or "").encode()) + 3 for t in texts)
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        end = min(max(r["place"], 0), len(raw))
+        while end and end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        assert r["tokens"] == len(byte_level.encode(raw[:end].decode(), add_special_tokens=False).ids)
+    assert counts.tokens_before(stored, F.array().cast("array<long>")).count() == 0
+
+
+def test_steps_of_any_width():
+    flat, sizes = np.array([1, 300, 2, 5, 6]), np.array([3, 0, 2])
+    assert counts._steps(flat, sizes, b"abcde").tolist() == [1, 299, -298, 5, 1]
+    assert counts._steps(np.array([1, 7, 3]), np.array([3]), "aé".encode()).tolist() == [1, 2, 0]
+
+
 def test_pieces_and_back(odd_docs, file):
     model = sentencepiece.SentencePieceProcessor(model_file=file("piece_bpe_32k.model"))
     encoded = pieces.encode(odd_docs, file("piece_bpe_32k.model"))
