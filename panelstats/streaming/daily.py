@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -50,7 +51,7 @@ def fill_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 # ---- running quality summary ---------------------------------------------
 
 def stream_qa(stream: DataFrame, by: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Running counters and extremes per group. Distinct days are left to ``daily_stream``, which closes them."""
+    """Running counters and extremes per group. Distinct days need ``fill_qa``."""
     return stream.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col(value).isNull()).alias("n_missing"),
@@ -62,6 +63,52 @@ def stream_qa(stream: DataFrame, by: Sequence[str], ts: str, value: str) -> Data
     )
 
 
+def fill_qa(
+    stream: DataFrame, by: Sequence[str], ts: str, value: str, folder: str, watermark: str = "1 day"
+) -> DataFrame:
+    """Runs the stream over what is available now and returns the whole summary so far, with distinct days and late rows.
+
+    Every batch leaves one row per group and day below `folder`, under the number of the batch, so a batch that is run
+    again replaces its own rows; days are counted once over all batches, without a set in the state. A row is late where
+    its time is not after the largest time of earlier batches less `watermark`; late rows still count in all other columns.
+    Call again with the same folder to go on with new rows. Rows without a time have no day and are never late; a stream
+    that never had a row gives an empty table.
+    """
+    spark = stream.sparkSession
+    cells, seen = f"{folder}/cells", f"{folder}/seen"
+    keys = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in by)
+    kind = stream.schema[value].dataType.simpleString()
+    schema = (f"{keys}, _day date, n_rows bigint, n_missing bigint, n_negative bigint, n_late bigint, "
+              f"min_value {kind}, max_value {kind}, first_ts timestamp, last_ts timestamp")
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema("micros bigint").parquet(f"{seen}/batch={number - 1}").first().micros if number else None
+        top = F.timestamp_micros(F.lit(before).cast("bigint"))
+        late = F.coalesce(F.col(ts) <= top - F.expr(f"INTERVAL {watermark}"), F.lit(False))
+        batch.groupBy(*by, F.to_date(ts).alias("_day")).agg(
+            F.count("*").alias("n_rows"), F.count_if(F.col(value).isNull()).alias("n_missing"),
+            F.count_if(F.col(value) < 0).alias("n_negative"), F.count_if(late).alias("n_late"),
+            F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+            F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+        ).write.mode("overwrite").parquet(f"{cells}/batch={number}")
+        own = session.read.schema(schema).parquet(f"{cells}/batch={number}")
+        own.agg(F.unix_micros(F.greatest(F.max("last_ts"), top)).alias("micros")) \
+            .write.mode("overwrite").parquet(f"{seen}/batch={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    query = writer.foreachBatch(add).start()
+    query.awaitTermination()
+    try:
+        held = spark.read.schema(f"{schema}, batch bigint").parquet(cells)
+    except AnalysisException:  # no batch yet
+        held = spark.createDataFrame([], f"{schema}, batch bigint")
+    sums, least, most = ["n_rows", "n_missing", "n_negative", "n_late"], ["min_value", "first_ts"], ["max_value", "last_ts"]
+    merged = [*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]]
+    days = held.groupBy(*by, "_day").agg(*merged)
+    return days.groupBy(*by).agg(*merged, F.count("_day").alias("n_days"))
+
+
 def stream_duplicates(
     stream: DataFrame, keys: Sequence[str], ts: str, watermark: str = "1 day"
 ) -> DataFrame:

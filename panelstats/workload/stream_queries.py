@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelstats.session import new_folder
 from panelstats.streaming import daily
-from panelstats.workload.common import Query, shape, shaped
+from panelstats.workload.common import Query, shape, shaped, table
 
 LIMIT = 50.0
 
@@ -23,6 +23,22 @@ def run_stream_qa(spark, folder):
     return shape(out)
 
 
+ARRIVALS = 4
+
+
+def run_stream_qa_days(spark, folder):
+    """Events that arrive in four parts, those of every fifth user one part later; each part is taken up by a stream
+    that goes on where it stopped."""
+    landing, state = new_folder(spark, "arrivals"), new_folder(spark, "qa-days")
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.max("event_id")).first()[0]
+    for k in range(ARRIVALS):
+        due = F.floor(F.col("event_id") * ARRIVALS / F.lit(last + 1)) + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0)
+        events.where(F.least(due, F.lit(ARRIVALS - 1)) == k).write.mode("append").parquet(landing)
+        out = daily.fill_qa(daily.event_stream(spark, landing, "*.parquet", "ts"), ["event_type"], "ts", "value", state, "1 day")
+    return shape(out)
+
+
 def run_stream_duplicates(spark, folder):
     counts = daily.stream_duplicates(_events(spark, folder), ["event_type", "user_id"], "ts")
     return shape(daily.fill_table(counts, "duplicates"))
@@ -64,6 +80,15 @@ QUERIES = {
     "stream_qa": Query(run_stream_qa, shaped("""SELECT event_type, count(*) AS n_rows, count(*) - count(value) AS n_missing,
         count(*) FILTER (value < 0) AS n_negative, min(value) AS min_value, max(value) AS max_value, min(ts) AS first_ts,
         max(ts) AS last_ts FROM events GROUP BY 1""", real="min_value max_value", stamps="first_ts last_ts")),
+    "stream_qa_days": Query(run_stream_qa_days, shaped(f"""WITH parts AS (
+          SELECT *, least({ARRIVALS - 1}, floor(event_id * {ARRIVALS}.0 / (SELECT max(event_id) + 1 FROM events))
+            + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END) AS part FROM events),
+        tops AS (SELECT part, max(ts) AS top FROM parts GROUP BY 1),
+        seen AS (SELECT part, max(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tops) --final
+        SELECT event_type, count(*) AS n_rows, count(*) - count(value) AS n_missing, count(*) FILTER (value < 0) AS n_negative,
+          min(value) AS min_value, max(value) AS max_value, min(ts) AS first_ts, max(ts) AS last_ts,
+          count(DISTINCT CAST(ts AS DATE)) AS n_days, count(*) FILTER (ts <= before - INTERVAL 1 DAY) AS n_late
+        FROM parts JOIN seen USING (part) GROUP BY 1""", real="min_value max_value", stamps="first_ts last_ts")),
     "stream_duplicates": Query(run_stream_duplicates, shaped("""SELECT event_type, user_id, CAST(ts AS DATE) AS day,
         count(*) AS n_members FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1
         AND CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", dates="day")),
