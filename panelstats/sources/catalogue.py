@@ -77,6 +77,27 @@ def record_fields(df: DataFrame, keep: Sequence[str], names: Sequence[str]) -> D
     )
 
 
+def field_values(
+    df: DataFrame, keep: Sequence[str], body: str, path: str = "$.data.latestVersion.metadataBlocks.citation.fields"
+) -> DataFrame:
+    """The metadata fields of records that are kept as JSON text, one row per field: its position, name, kind and values.
+
+    kind is that of the JSON value itself (text, list, object, number, boolean or null), so a text that looks like a list
+    stays a text. values: the elements of a list, else the value alone; objects are compact JSON, a null has none. A
+    record without fields, a missing one and one that is not JSON have no rows; a field without a name keeps its row.
+    """
+    entries = F.try_variant_get(F.try_parse_json(F.col(body)), path, "array<variant>")
+    each = df.select(*keep, F.posexplode(entries).alias("position", "_field"))
+    value = F.try_variant_get("_field", "$.value", "variant")
+    named = each.select(*keep, "position", F.try_variant_get("_field", "$.typeName", "string").alias("field"), value.alias("_value"))
+    kind = F.coalesce(F.regexp_extract(F.schema_of_variant("_value"), "^[A-Z]+", 0), F.lit("VOID"))
+    known = F.when(kind == "STRING", "text").when(kind == "ARRAY", "list").when(kind == "OBJECT", "object") \
+        .when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+    alone = F.array(F.try_variant_get("_value", "$", "string"))
+    values = F.when(known == "list", F.try_variant_get("_value", "$", "array<string>")).when(known == "null", F.array().cast("array<string>"))
+    return named.select(*keep, "position", "field", known.alias("kind"), values.otherwise(alone).alias("values"))
+
+
 def explode_files(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per file of a record, carrying the record's columns."""
     f = df.select(*keep, F.explode("data.latestVersion.files").alias("f"))

@@ -147,6 +147,24 @@ def run_eav(spark, folder):
     return shape(catalogue.record_fields(records, ["p_partkey"], ["title", "subject", "author", "keyword"]))
 
 
+def run_field_values(spark, folder):
+    """Records as JSON text whose fields are texts, lists, objects, numbers, booleans and nulls."""
+    p = table(spark, folder, "part")
+    json = lambda *cols: F.to_json(F.struct(*cols))
+    field = lambda name, value: F.concat(F.lit(f'{{"typeName":"{name}","value":'), value, F.lit("}"))
+    cut = lambda text: F.regexp_extract(text, '^\\{"v":(.*)\\}$', 1)
+    fields = F.concat_ws(
+        ", ", field("title", cut(json(F.col("p_name").alias("v")))),
+        field("looks_like_list", cut(json(F.concat(F.lit('["'), "p_brand", F.lit('"]')).alias("v")))),
+        field("subject", cut(json(F.array("p_brand", "p_type").alias("v")))), field("size", F.col("p_size").cast("string")),
+        field("large", (F.col("p_size") > 25).cast("string")), field("author", json("p_size", "p_brand")), field("none", F.lit("null")),
+        field("empty", F.lit("[]")),
+    )
+    body = F.concat(F.lit('{"data":{"latestVersion":{"metadataBlocks":{"citation":{"fields":['), fields, F.lit("]}}}}}"))
+    out = catalogue.field_values(p.select("p_partkey", body.alias("body")), ["p_partkey"], "body")
+    return shape(out.select("p_partkey", "position", "field", "kind", F.size("values").alias("n_values"), F.array_join("values", "|").alias("value")))
+
+
 def run_file_explode(spark, folder):
     return shape(catalogue.explode_files(_records(spark, folder), ["p_partkey"]).drop("directory_label"))
 
@@ -309,6 +327,16 @@ QUERIES = {
     "eav_json": Query(run_eav, """SELECT p_partkey, p_name AS title, '["' || p_brand || '","' || p_type || '"]' AS subject,
         '[{"size":' || p_size || '}]' AS author, '' AS keyword, '1.' || (p_size % 3) AS version,
         CAST(2 AS BIGINT) AS file_count FROM part"""),
+    "field_values": Query(run_field_values, """SELECT p_partkey, CAST(f.at AS BIGINT) AS position, f.field, f.kind,
+        CAST(f.n AS BIGINT) AS n_values, f.value FROM (SELECT p_partkey, unnest([
+          {'at': 0, 'field': 'title', 'kind': 'text', 'n': 1, 'value': p_name},
+          {'at': 1, 'field': 'looks_like_list', 'kind': 'text', 'n': 1, 'value': '["' || p_brand || '"]'},
+          {'at': 2, 'field': 'subject', 'kind': 'list', 'n': 2, 'value': p_brand || '|' || p_type},
+          {'at': 3, 'field': 'size', 'kind': 'number', 'n': 1, 'value': CAST(p_size AS VARCHAR)},
+          {'at': 4, 'field': 'large', 'kind': 'boolean', 'n': 1, 'value': CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END},
+          {'at': 5, 'field': 'author', 'kind': 'object', 'n': 1, 'value': '{"p_brand":"' || p_brand || '","p_size":' || p_size || '}'},
+          {'at': 6, 'field': 'none', 'kind': 'null', 'n': 0, 'value': ''},
+          {'at': 7, 'field': 'empty', 'kind': 'list', 'n': 0, 'value': ''}]) AS f FROM part)"""),
     "file_explode": Query(run_file_explode, """SELECT p_partkey, p_partkey AS file_id, filename, 'text/csv' AS content_type,
         CAST(size AS BIGINT) AS size_bytes, 'MD5' AS checksum_type, md5(p_name) AS checksum_value, p_type AS description,
         FALSE AS restricted FROM (SELECT *, p_brand AS filename, p_size AS size FROM part

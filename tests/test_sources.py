@@ -100,6 +100,16 @@ def write_workbook(path):
                    '<c r="C3" t="inlineStr"><is><t>x</t></is></c><c r="D3"/></row></sheetData></worksheet>')
 
 
+def test_field_values(spark, rows):
+    record = lambda fields: '{"data":{"latestVersion":{"metadataBlocks":{"citation":{"fields":' + fields + "}}}}}"
+    bodies = [(1, record('[{"typeName":"a","value":"[1]"},{"value":[1,{"b":2},null,"x"]},{"typeName":"c"},{"typeName":"d","value":1.5}]')),
+              (2, record("[]")), (3, "{not json"), (4, None), (5, "{}"), (6, record('{"typeName":"a"}'))]
+    got = catalogue.field_values(spark.createDataFrame(bodies, "id int, body string"), ["id"], "body")
+    assert rows(got, "id", "position", "field", "kind", "values") == [
+        (1, 0, "a", "text", ["[1]"]), (1, 1, None, "list", ["1", '{"b":2}', None, "x"]), (1, 2, "c", "null", []),
+        (1, 3, "d", "number", ["1.5"])]
+
+
 def test_workbooks(spark, tmp_path, rows):
     write_workbook(tmp_path / "a_2019.xlsx")
     write_workbook(tmp_path / "b_2020.xlsx")
