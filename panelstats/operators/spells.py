@@ -52,9 +52,14 @@ def require_complete(df: DataFrame, by: Sequence[str], level: str) -> DataFrame:
     return df
 
 
-def _with_runs(df: DataFrame, by: Sequence[str], order: str, state: str) -> DataFrame:
-    """Adds idx, step (state minus previous state) and run (number of the run)."""
-    w = Window.partitionBy(*by).orderBy(order)
+def _with_runs(
+    df: DataFrame, by: Sequence[str], order: str, state: str, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Adds idx, step (state minus previous state) and run (number of the run).
+
+    ``ties`` are columns that order rows of equal ``order``, missing ones last.
+    """
+    w = Window.partitionBy(*by).orderBy(order, *[F.col(c).asc_nulls_last() for c in ties])
     before = F.lag(state).over(w)
     starts = F.when(before.isNull() | (before != F.col(state)), 1).otherwise(0)
     marked = df.select(
@@ -99,11 +104,13 @@ def spells(df: DataFrame, by: Sequence[str], order: str, state: str) -> DataFram
 
 
 def spells_chunked(
-    df: DataFrame, by: Sequence[str], order: str, state: str, chunk: Column
+    df: DataFrame, by: Sequence[str], order: str, state: str, chunk: Column, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Same result as ``spells`` for 0/1 states of series of any length.
 
     ``chunk`` never decreases along ``order`` (for example the hour of a timestamp).
+    Rows of equal ``order`` follow the columns ``ties`` and at last their state, 0 before 1,
+    so the result depends on the rows alone.
     Runs are found per chunk. One row per chunk then tells which state went before,
     how many rows and how many spells of each state came earlier; with that every
     run knows its spell, and runs of one spell are merged.
@@ -111,7 +118,7 @@ def spells_chunked(
     cut = df.dropna(subset=[*by, state]).withColumn("_chunk", chunk)
     local = [*by, "_chunk"]
     runs = (
-        _with_runs(cut, local, order, state)
+        _with_runs(cut, local, order, state, [*ties, state])
         .groupBy(*local, "_run", state)
         .agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("length"),
              F.min("_idx").alias("_first_idx"))

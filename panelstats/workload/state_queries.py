@@ -22,9 +22,10 @@ def run_spells(spark, folder):
 
 
 def run_spells_chunked(spark, folder):
-    e = table(spark, folder, "events").select("event_type", "ts", "value")
+    """Spells of raw events by time; events of one time follow their id, at last their state."""
+    e = table(spark, folder, "events").select("event_type", "ts", "event_id", "value")
     marked = e.withColumn("wet", (F.col("value") > LIMIT).cast("int"))
-    out = spells.spells_chunked(marked, ["event_type"], "ts", "wet", F.date_trunc("minute", "ts"))
+    out = spells.spells_chunked(marked, ["event_type"], "ts", "wet", F.date_trunc("minute", "ts"), ["event_id"])
     return shape(out)
 
 
@@ -77,15 +78,18 @@ def run_axes(spark, folder):
     ))
 
 
-def _runs_sql(source: str, by: str, order: str) -> str:
-    """Gaps and islands over a table that has by-columns, an order column and ``wet``."""
+def _runs_sql(source: str, by: str, order: str, ties: str = "") -> str:
+    """Gaps and islands over a table that has by-columns, an order column and ``wet``.
+
+    ``ties`` goes on with the ordering where several rows share a value of the order column.
+    """
     return f"""
 marked AS (
-  SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS idx,
-         lag(wet) OVER (PARTITION BY {by} ORDER BY {order}) AS prev FROM {source}),
+  SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}{ties}) - 1 AS idx,
+         lag(wet) OVER (PARTITION BY {by} ORDER BY {order}{ties}) AS prev FROM {source}),
 numbered AS (
   SELECT *, sum(CASE WHEN prev IS NULL OR prev <> wet THEN 1 ELSE 0 END)
-            OVER (PARTITION BY {by} ORDER BY {order}) AS run FROM marked),
+            OVER (PARTITION BY {by} ORDER BY {order}{ties}) AS run FROM marked),
 runs AS (
   SELECT {by}, run, wet, min({order}) AS s, max({order}) AS e, count(*) AS length,
          min(idx) AS start_index, max(idx) AS end_index
@@ -149,8 +153,8 @@ QUERIES = {
         f"WITH {_EVENT_WET}, {_runs_sql('states', 'event_type', 'day')} --final {_SPELL_COLUMNS}",
         ints="wet spell_id length start_index end_index", dates='"start" "end"')),
     "spells_chunked": Query(run_spells_chunked, shaped(
-        f"WITH states AS (SELECT event_type, ts, CASE WHEN value > {LIMIT} THEN 1 ELSE 0 END AS wet FROM events), "
-        f"{_runs_sql('states', 'event_type', 'ts')} --final {_SPELL_COLUMNS}",
+        f"WITH states AS (SELECT event_type, ts, event_id, CASE WHEN value > {LIMIT} THEN 1 ELSE 0 END AS wet FROM events), "
+        f"{_runs_sql('states', 'event_type', 'ts', ', event_id NULLS LAST, wet')} --final {_SPELL_COLUMNS}",
         ints="wet spell_id length start_index end_index", stamps='"start" "end"')),
     "daily_states": Query(run_daily_states, shaped(
         f"WITH {_EVENT_WET} --final SELECT *, 1 - wet AS dry FROM states", real="level", ints="wet dry", dates="day")),

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelstats.operators import series, spells
+from panelstats.workload import all_queries
 
 LEVELS = [5, 0, -2, 3, 4, 0, 7]
 START = dt.date(2001, 5, 1)
@@ -99,6 +100,36 @@ def test_chunked_equals_plain(spark, groups, width):
     assert moves == len(want) - len(groups)
 
 
+def test_chunked_ties_follow_the_given_columns(spark, rows):
+    """Rows of one time, handed in either way round: the id decides, then the state."""
+    data = [("g", 0, 1, 1), ("g", 5, 3, 1), ("g", 5, 2, 0), ("g", 5, 4, 0), ("g", 5, None, 1), ("g", 9, 6, 1), ("g", 9, 6, 0)]
+    want = sorted([("g", 1, 1, 0, 0), ("g", 0, 1, 1, 1), ("g", 1, 2, 2, 2), ("g", 0, 2, 3, 3), ("g", 1, 3, 4, 4),
+                   ("g", 0, 3, 5, 5), ("g", 1, 4, 6, 6)], key=repr)
+    for given in (data, data[::-1]):
+        df = spark.createDataFrame(given, "g string, t int, id int, s int").coalesce(1)
+        out = spells.spells_chunked(df, ["g"], "t", "s", F.floor(F.col("t") / 10), ["id"])
+        assert rows(out, "g", "s", "spell_id", "start_index", "end_index") == want
+
+
+def test_spells_chunked_query_with_shared_times(spark, tmp_path):
+    """The registered query and its SQL on events that share a time but not a state, in two orders of the rows."""
+    duckdb = pytest.importorskip("duckdb")
+    query = all_queries()["spells_chunked"]
+    at = dt.datetime(2024, 1, 1, 0, 0, 30, 250)
+    data = [(k, at + dt.timedelta(seconds=20 * (k // 6)), "click", 40.0 if k % 3 else 60.0) for k in range(60)]
+    seen = []
+    for name, given in (("up", data), ("down", data[::-1])):
+        path = f"{tmp_path}/{name}/events.parquet"
+        spark.createDataFrame(given, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(path)
+        out = query.run(spark, f"{tmp_path}/{name}")
+        seen.append(sorted(map(tuple, out.collect())))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+        cols = ", ".join(f'"{c}"' for c in out.columns)
+        assert seen[-1] == sorted(con.execute(f"SELECT {cols} FROM ({query.sql})").fetchall())
+    assert seen[0] == seen[1] and len(seen[0]) == 40
+
+
 def test_common_window(spark, rows):
     a = daily(spark, LEVELS, START, "A")
     b = daily(spark, LEVELS, START + dt.timedelta(days=2), "B")
