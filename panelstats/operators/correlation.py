@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstats.functions.scalar import nan_to_null, pearson
-from panelstats.operators.distribution import distribution, ranks_of_counts
+from panelstats.operators.distribution import distribution, present, ranks_of_counts
+from panelstats.session import materialise
 
 
 SENSORS_PER_TILE = 512
@@ -49,41 +50,53 @@ def correlate_pairs(pairs: DataFrame, by: Sequence[str], long_series: bool = Fal
     )
 
 
-def _correlate_reduced(complete: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Correlations from one reduction of the pairs to (by, x, y, count).
+def _with_group(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group's only row; without groups that is one row for all."""
+    if by:
+        return rows.join(groups, list(by))
+    return rows.withColumn("_one", F.lit(1)).join(groups.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
-    Ranks are attached to the distinct values of either side and joined to the reduced pairs,
-    never to facts. Sums are of distances from the means, so large offsets lose no digits.
+
+def _correlate_reduced(complete: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Correlations of groups of any size from two scans, each reduced before it is shuffled.
+
+    The first scan leaves (by, y, count), which is ranked; the second brings each pair the distances of its
+    y and of its y's rank from their means, and leaves their sums for each (by, x). A sum over pairs is then one
+    over different x, so no rank of x ever meets a pair. What a later step reads several times is written
+    once; a table of ranks that turns out small is thereby sent to the pairs, which then stay where they are.
+    Least work where y has the fewer different values. Sums are of distances from the means, so large offsets
+    lose no digits.
     """
-    reduced = complete.groupBy(*by, "x", "y").agg(F.count("*").alias("_w"))
-    w = F.col("_w")
-    sides = []
-    for side in ("x", "y"):
-        counts = reduced.groupBy(*by, F.col(side).alias("_v")).agg(F.sum("_w").alias("_c"))
-        sides.append(ranks_of_counts(counts, by).select(*by, F.col("_v").alias(side), F.col("avg_rank").alias(f"r{side}")))
-    middle = reduced.groupBy(*by).agg(
-        F.sum("_w").alias("n"), (F.sum(w * F.col("x")) / F.sum("_w")).alias("_mx"), (F.sum(w * F.col("y")) / F.sum("_w")).alias("_my"))
-    ranked = reduced.join(sides[0], [*by, "x"]).join(sides[1], [*by, "y"])
-    # without groups the means are a single row
-    if by:
-        ranked = ranked.join(middle, list(by))
-    else:
-        ranked = ranked.withColumn("_one", F.lit(1)).join(middle.withColumn("_one", F.lit(1)), "_one")
+    complete = present(complete, by)
+    c, v = F.col("_c"), F.col("_v")
+    ys = materialise(complete.groupBy(*by, F.col("y").alias("_v")).agg(F.count("*").alias("_c"), F.sum("x").alias("_sx")), "y-counts")
+    groups = materialise(ys.groupBy(*by).agg(
+        F.sum("_c").alias("n"), (F.sum("_sx") / F.sum("_c")).alias("_mx"), (F.sum(c * v) / F.sum("_c")).alias("_my")), "groups")
     mid = (F.col("n") + 1) / 2
+    ranked = _with_group(ranks_of_counts(ys.drop("_sx"), by, keep=["_c"]), groups, by)
+    y = materialise(ranked.select(
+        *by, v.alias("y"), c, (v - F.col("_my")).alias("_dy"), (F.col("avg_rank") - mid).alias("_dr")), "y-ranks")
+    xs = materialise(complete.join(y.drop("_c"), [*by, "y"]).groupBy(*by, F.col("x").alias("_v")).agg(
+        F.count("*").alias("_c"), F.sum("_dy").alias("_sy"), F.sum("_dr").alias("_sr")), "x-sums")
+
+    dx, dr = v - F.col("_mx"), F.col("avg_rank") - mid
+    of_x = _with_group(ranks_of_counts(xs, by, keep=["_c", "_sy", "_sr"]), groups, by).groupBy(*by).agg(
+        F.first("n").alias("n"), (F.min("_v") < F.max("_v")).alias("_x_varies"),
+        F.sum(dx * F.col("_sy")).alias("_xy"), F.sum(c * dx * dx).alias("_xx"),
+        F.sum(dr * F.col("_sr")).alias("_rxy"), F.sum(c * dr * dr).alias("_rxx"))
+    of_y = y.groupBy(*by).agg(
+        (F.min("y") < F.max("y")).alias("_y_varies"),
+        F.sum(c * F.col("_dy") * F.col("_dy")).alias("_yy"), F.sum(c * F.col("_dr") * F.col("_dr")).alias("_ryy"))
 
     # whether a side varies is told by its extremes: a mean of equal values need not equal them to the last bit
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    varies = F.col("_x_varies") & F.col("_y_varies")
 
-    def r(a: Column, b: Column) -> Column:
-        ab, aa, bb = F.sum(w * a * b), F.sum(w * a * a), F.sum(w * b * b)
-        bounded = F.least(F.greatest(F.try_divide(ab, F.sqrt(aa) * F.sqrt(bb)), F.lit(-1.0)), F.lit(1.0))
-        return F.when(varies, bounded)
+    def r(xy: str, xx: str, yy: str) -> Column:
+        raw = F.try_divide(F.col(xy), F.sqrt(xx) * F.sqrt(yy))
+        return F.when(varies, F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)))
 
-    return ranked.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        r(F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")).alias("pearson_r"),
-        r(F.col("rx") - mid, F.col("ry") - mid).alias("spearman_rho"),
-    )
+    return _with_group(of_x, of_y, by).select(
+        *by, "n", r("_xy", "_xx", "_yy").alias("pearson_r"), r("_rxy", "_rxx", "_ryy").alias("spearman_rho"))
 
 
 def correlate(

@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelstats.session import materialise
+
 QUARTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 LOWEST_OCTAVE = -1100
 MISSING = -(1 << 62)  # bucket of missing values, below every other
@@ -96,19 +98,23 @@ def _part() -> Column:
     return F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * PARTS), F.lit(0))
 
 
-def narrowed(rows: DataFrame, keys: Sequence[str], wanted=None, carried: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+def narrowed(
+    rows: DataFrame, keys: Sequence[str], wanted=None, carried: Sequence[str] = (), large: bool = True
+) -> tuple[DataFrame, list[str]]:
     """Rows (keys, _v, _c, _d, _lo, _hi, _before) in parts, and the keys of a part.
 
     Keys with more than ``LISTED`` different values (_d) are cut ``CUTS`` times, the others are one part. _before is the
     running count ahead of the part. ``wanted(before, upto)`` says which parts are looked into, all if it is missing.
     Parts are summed on the map side, so a large bucket spreads over its parts. Where nothing is large, adaptive
     execution finds the cutting branch empty and leaves it out; naming the ``carried`` columns in it lets both branches
-    read one exchange.
+    read one exchange. ``large`` is False where it is known that no keys are large: there is then no such branch.
     """
     names = [f"_part{level}" for level in range(CUTS)]
     few = rows.where(F.col("_d") <= LISTED).drop("_d", "_lo", "_hi").withColumns({n: F.lit(0).cast("bigint") for n in names})
-    large = _cut(rows.where(F.col("_d") > LISTED).drop("_d"), list(keys), wanted, carried)
-    return few.unionByName(large), [*keys, *names]
+    if not large:
+        return few, [*keys, *names]
+    cut = _cut(rows.where(F.col("_d") > LISTED).drop("_d"), list(keys), wanted, carried)
+    return few.unionByName(cut), [*keys, *names]
 
 
 def _cut(rows: DataFrame, keys: list[str], wanted, carried: Sequence[str]) -> DataFrame:
@@ -249,19 +255,24 @@ def distribution_of_counts(
 def ranks_within(df: DataFrame, by: Sequence[str], value: str, bits: int = 12) -> DataFrame:
     """(by, value, avg_rank): tie-averaged ranks for groups too large for one window."""
     known = present(df, [*by, value]).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    counts = materialise(known.groupBy(*by, "_v").agg(F.count("*").alias("_c")), "counts")
     return ranks_of_counts(counts, by, bits).withColumnRenamed("_v", value)
 
 
-def ranks_of_counts(counts: DataFrame, by: Sequence[str], bits: int = 12) -> DataFrame:
-    """(by, _v, avg_rank) of rows (by, _v, _c) with each value once in its group."""
+def ranks_of_counts(counts: DataFrame, by: Sequence[str], bits: int = 12, keep: Sequence[str] = ()) -> DataFrame:
+    """(by, _v, avg_rank) of rows (by, _v, _c) with each value once in its group; ``keep`` names further columns to return.
+
+    The counts are read twice. The histogram is written, so that its size is known where it is joined,
+    and whether any bucket has to be cut.
+    """
     counts = counts.withColumn("_bucket", F.coalesce(magnitude_bucket("_v", bits), F.lit(MISSING)))
     hist = counts.groupBy(*by, "_bucket").agg(
         F.sum("_c").alias("_bc"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     run = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_before", F.sum("_bc").over(run) - F.col("_bc")).drop("_bc")
-    near, keys = narrowed(counts.join(hist, [*by, "_bucket"]), [*by, "_bucket"])
+    hist = materialise(hist.withColumn("_before", F.sum("_bc").over(run) - F.col("_bc")).drop("_bc"), "buckets")
+    large = not hist.where(F.col("_d") > LISTED).isEmpty()
+    near, keys = narrowed(counts.join(hist, [*by, "_bucket"]), [*by, "_bucket"], carried=keep, large=large)
     inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_c").over(inside)
     return near.withColumn("_upto", upto).select(
-        *by, "_v", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"))
+        *by, "_v", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"), *keep)

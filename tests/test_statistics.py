@@ -261,6 +261,28 @@ def test_long_series_reduce_once(spark):
     assert long["flat"].pearson_r is None and long["flat"].spearman_rho is None
 
 
+def test_long_series_scan_the_pairs_twice(spark):
+    """Long correlations read their rows twice, however many steps there are, and cut large buckets on either side."""
+    n, seen = 40000, spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    a = 1.7e9 + F.pmod(F.col("id") * 7919, F.lit(n))
+    b = (F.pmod(F.col("id") * 7919, F.lit(n)) / 5 + F.pmod(F.col("id") * 31, F.lit(9001))).cast("long") % 700
+    made = spark.range(n).select(a.alias("a"), b.cast("double").alias("b"))
+    df = made.mapInPandas(read, "a double, b double")
+    want = made.toPandas()
+    for x, y in (("a", "b"), ("b", "a")):
+        seen.value = 0
+        row = correlation.correlate_pairs(df.select(F.lit("g").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")), ["g"], True).first()
+        assert seen.value == 2 * n
+        assert row.n == n and row.pearson_r == pytest.approx(np.corrcoef(want.a, want.b)[0, 1], abs=1e-12)
+        assert row.spearman_rho == pytest.approx(np.corrcoef(want.a.rank(), want.b.rank())[0, 1], abs=1e-12)
+
+
 def test_long_series_without_groups(spark):
     pairs = spark.createDataFrame([(float(k), float(k * k)) for k in range(9)], "x double, y double")
     row = correlation.correlate_pairs(pairs, [], True).first()
